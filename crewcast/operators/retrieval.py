@@ -22,11 +22,16 @@ from crewcast.operators.filters import equality_filter
 
 DEFAULT_TOP_K = 30
 GRAM = 3
-MAX_INLINE_TERMS = 50_000
-MAX_INLINE_VECTOR_BYTES = 64 << 20
-VECTOR_BLOCK_ROWS = 20_000
 RRF_CONSTANT = 60
 
+# Up to these sizes the queries are sent to the documents.
+MAX_INLINE_QUERIES = 2_000
+MAX_INLINE_TERMS = 50_000
+# Beyond them, vectors are paired block by block.
+QUERY_BLOCK_ROWS = 2_000
+DOCUMENT_BLOCK_ROWS = 20_000
+SCORES_AT_ONCE = 4_000_000
+
 
 def _check_top_k(top_k: int | None) -> None:
     if top_k is not None and top_k < 1:
@@ -54,39 +59,130 @@ def haystack(title: str = "title", content: str = "content", name: str = "consul
     return F.lower(F.concat_ws(" ", *parts))
 
 
+class _Best:
+    """The k best (score down, id up) documents of each query among those seen so far."""
+
+    def __init__(self, query_ids: list, k: int | None, minimum: float = -np.inf):
+        self.query_ids = np.array(query_ids, dtype=object)
+        self.k = k
+        self.border = np.full(len(query_ids), minimum, dtype=np.float64)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: documents × queries. Only scores that can still be among the best are kept."""
+        rows, cols = np.nonzero(scores >= self.border)
+        self.parts.append((cols, scores[rows, cols], ids[rows]))
+        self.pending += len(rows)
+        if self.k is not None and self.pending > SCORES_AT_ONCE:
+            self.compact()
+
+    def compact(self) -> None:
+        if not self.parts:
+            return
+        cols, scores, ids = (np.concatenate(column) for column in zip(*self.parts))
+        if self.k is not None:
+            order = np.lexsort((ids, -scores, cols))
+            cols, scores, ids = cols[order], scores[order], ids[order]
+            nth = np.arange(len(cols)) - np.searchsorted(cols, cols)
+            full = nth == self.k - 1
+            self.border[cols[full]] = np.maximum(self.border[cols[full]], scores[full])
+            kept = nth < self.k
+            cols, scores, ids = cols[kept], scores[kept], ids[kept]
+        self.parts, self.pending = [(cols, scores, ids)], len(cols)
+
+    def rows(self) -> pd.DataFrame:
+        self.compact()
+        if not self.parts:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        cols, scores, ids = self.parts.pop()
+        self.pending = 0
+        return pd.DataFrame({"query_id": self.query_ids[cols], "id": ids, "score": scores})
+
+
+def _slices(count: int, queries: int) -> Iterator[slice]:
+    size = max(1, SCORES_AT_ONCE // max(queries, 1))
+    for start in range(0, count, size):
+        yield slice(start, start + size)
+
+
+class _Vocabulary:
+    """Finds which words occur in a text: words are looked up by their first characters."""
+
+    def __init__(self, term_lists: list[list[str]]):
+        terms = sorted({t for words in term_lists for t in words})
+        self.queries = len(term_lists)
+        holders: dict[str, list[int]] = {t: [] for t in terms}
+        for n, words in enumerate(term_lists):
+            for t in words:
+                holders[t].append(n)
+        self.holders = {t: np.array(q) for t, q in holders.items()}
+        self.short = [t for t in terms if len(t) < GRAM]
+        self.by_gram: dict[str, list[str]] = {}
+        for t in terms:
+            if len(t) >= GRAM:
+                self.by_gram.setdefault(t[:GRAM], []).append(t)
+
+    def scores(self, text: str) -> np.ndarray:
+        grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+        found = [t for t in self.short if t in text]
+        for gram in self.by_gram.keys() & grams:
+            found.extend(t for t in self.by_gram[gram] if t in text)
+        if not found:
+            return np.zeros(self.queries)
+        return np.bincount(
+            np.concatenate([self.holders[t] for t in found]), minlength=self.queries
+        ).astype(np.float64)
+
+
+def _score_schema(queries: DataFrame, documents: DataFrame, score: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("id", documents.schema["id"].dataType),
+            T.StructField("score", score),
+        ]
+    )
+
+
 def keyword_scores(
-    documents: DataFrame, queries: DataFrame, max_inline_terms: int = MAX_INLINE_TERMS
+    documents: DataFrame,
+    queries: DataFrame,
+    top_k: int | None = None,
+    max_inline_terms: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
-    """(query_id, id, score): number of distinct query words found anywhere in the document."""
+    """(query_id, id, score): number of distinct query words found anywhere in the document.
+
+    With top_k a superset of the best top_k per query is enough and may be returned.
+    """
     terms = query_terms(queries)
-    total = terms.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("t")).first()
     texts = documents.select("id", haystack().alias("text"))
-    if total <= max_inline_terms:
-        return _scores_in_place(texts, terms)
+    if size["n"] <= MAX_INLINE_QUERIES and size["t"] <= max_inline_terms:
+        return _scores_in_place(texts, terms, top_k)
     return _scores_by_grams(texts, terms)
 
 
-def _scores_in_place(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """The whole (checked) query set is one scalar value; documents are not shuffled."""
-    packed = terms.agg(F.collect_list(F.struct("query_id", "terms"))).scalar()
-    words = terms.select(F.explode("terms").alias("term")).agg(F.collect_set("term")).scalar()
-    # The one-element array makes the text a lambda variable, computed once per document
-    # instead of once per word.
-    found = F.transform(F.array("text"), lambda t: F.filter(words, lambda w: t.contains(w)))
-    scored = F.transform(
-        found,
-        lambda hits: F.filter(
-            F.transform(
-                packed,
-                lambda q: F.struct(
-                    q["query_id"].alias("query_id"),
-                    F.size(F.array_intersect(q["terms"], hits)).alias("score"),
-                ),
-            ),
-            lambda s: s["score"] > 0,
-        ),
-    )
-    return texts.select("id", F.inline(scored[0])).select("query_id", "id", "score")
+def _scores_in_place(texts: DataFrame, terms: DataFrame, top_k: int | None) -> DataFrame:
+    """The (size-checked) queries go to every task; a task returns its top_k per query.
+
+    Counting inside the task keeps the (query, document) pairs off the network: common words
+    make almost every document match almost every query.
+    """
+    rows = terms.toPandas()
+    query_ids, term_lists = rows["query_id"].tolist(), [list(t) for t in rows["terms"]]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, best = _Vocabulary(term_lists), _Best(query_ids, top_k, minimum=1)
+        for batch in batches:
+            ids, found = batch["id"].to_numpy(), batch["text"].to_numpy()
+            for part in _slices(len(ids), len(query_ids)):
+                best.add(np.stack([vocabulary.scores(t) for t in found[part]]), ids[part])
+            if top_k is None:
+                yield best.rows()
+        yield best.rows()
+
+    return texts.mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
 
 
 def _grams(text: Column) -> Column:
@@ -136,7 +232,7 @@ def keyword_search(
     """query_id, id, score, rank of the documents that contain any of the query's words."""
     _check_top_k(top_k)
     kept = documents.filter(equality_filter(documents, filters)) if filters else documents
-    return top_per_query(keyword_scores(kept, queries, max_inline_terms), top_k)
+    return top_per_query(keyword_scores(kept, queries, top_k, max_inline_terms), top_k)
 
 
 def _unit_rows(vectors: pd.Series, dimensions: int) -> np.ndarray:
@@ -148,27 +244,11 @@ def _unit_rows(vectors: pd.Series, dimensions: int) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: score down, id up. Ties at the border are decided by id too."""
-    if len(scores) > k:
-        border = np.partition(scores, -k)[-k]
-        kept = np.flatnonzero(scores >= border)
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
-
-
-def _best_rows(
-    query_ids: list, units: np.ndarray, doc_ids: np.ndarray, documents: np.ndarray, k: int
-) -> pd.DataFrame:
-    similarity = np.rint(documents @ units.T * 1e6) / 1e6 + 0.0
-    parts = []
-    for n, query_id in enumerate(query_ids):
-        best = _best(similarity[:, n], doc_ids, k)
-        parts.append(
-            pd.DataFrame({"query_id": query_id, "id": doc_ids[best], "score": similarity[best, n]})
-        )
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []})
+def _add_similarities(best: _Best, units: np.ndarray, batch: pd.DataFrame) -> None:
+    ids = batch["id"].to_numpy()
+    for part in _slices(len(ids), len(units)):
+        rows = _unit_rows(batch["content_vector"].iloc[part], units.shape[1])
+        best.add(np.rint(rows @ units.T * 1e6) / 1e6 + 0.0, ids[part])
 
 
 def vector_search(
@@ -178,7 +258,7 @@ def vector_search(
     dimensions: int,
     top_k: int | None = None,
     filters: Mapping[str, Any] | None = None,
-    max_inline_bytes: int = MAX_INLINE_VECTOR_BYTES,
+    max_inline_queries: int = MAX_INLINE_QUERIES,
 ) -> DataFrame:
     """Exact cosine neighbours: query_id, id, score (six places), rank.
 
@@ -189,70 +269,57 @@ def vector_search(
     kept = documents.filter(equality_filter(documents, filters)) if filters else documents
     vectors = kept.select("id", "content_vector").filter(F.col("content_vector").isNotNull())
     wanted = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
-    schema = T.StructType(
-        [
-            T.StructField("query_id", wanted.schema["query_id"].dataType),
-            T.StructField("id", vectors.schema["id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    size = wanted.count() * dimensions * 8
-    if size <= max_inline_bytes:
+    schema = _score_schema(wanted, vectors, T.DoubleType())
+    count = wanted.count()
+    if count <= max_inline_queries:
         best = _neighbours_in_place(vectors, wanted, dimensions, k, schema)
     else:
-        best = _neighbours_by_blocks(vectors, wanted, dimensions, k, schema)
+        best = _neighbours_by_blocks(vectors, wanted, count, dimensions, k, schema)
     return top_per_query(best, k)
 
 
 def _neighbours_in_place(
     vectors: DataFrame, wanted: DataFrame, dimensions: int, k: int, schema: T.StructType
 ) -> DataFrame:
-    """Queries of checked size go to every task; a task returns its k best per query."""
+    """The (size-checked) queries go to every task; a task returns its k best per query."""
     rows = wanted.toPandas()
     query_ids = rows["query_id"].tolist()
     units = _unit_rows(rows["query_vector"], dimensions)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+        best = _Best(query_ids, k)
         for batch in batches:
-            found = _best_rows(
-                query_ids, units, batch["id"].to_numpy(), _unit_rows(batch["content_vector"], dimensions), k
-            )
-            merged = found if best is None else pd.concat([best, found])
-            ordered = merged.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-            best = ordered.groupby("query_id", sort=False).head(k)
-        if best is not None and len(best):
-            yield best
+            _add_similarities(best, units, batch)
+        yield best.rows()
 
     return vectors.mapInPandas(nearest, schema)
 
 
 def _neighbours_by_blocks(
-    vectors: DataFrame, wanted: DataFrame, dimensions: int, k: int, schema: T.StructType
+    vectors: DataFrame, wanted: DataFrame, count: int, dimensions: int, k: int, schema: T.StructType
 ) -> DataFrame:
-    """Both sides are cut into blocks; every pair of blocks is one bounded task with k best rows."""
-    query_blocks = wanted.count() // VECTOR_BLOCK_ROWS + 1
-    document_blocks = vectors.count() // VECTOR_BLOCK_ROWS + 1
+    """Both sides are cut into blocks; every pair of blocks is one bounded group with k best rows."""
+    query_blocks = count // QUERY_BLOCK_ROWS + 1
+    document_blocks = vectors.count() // DOCUMENT_BLOCK_ROWS + 1
 
     def block(col: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(blocks))
+        return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("bigint")
 
     def each(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
 
-    left = wanted.select("*", block("query_id", query_blocks).alias("q"), each(document_blocks).alias("d"))
-    right = vectors.select("*", block("id", document_blocks).alias("d"), each(query_blocks).alias("q"))
+    left = wanted.select(
+        "*", block("query_id", query_blocks).alias("q"), each(document_blocks).alias("d")
+    )
+    right = vectors.select(
+        "*", block("id", document_blocks).alias("d"), each(query_blocks).alias("q")
+    )
 
     def nearest(queries: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or documents.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best_rows(
-            queries["query_id"].tolist(),
-            _unit_rows(queries["query_vector"], dimensions),
-            documents["id"].to_numpy(),
-            _unit_rows(documents["content_vector"], dimensions),
-            k,
-        )
+        best = _Best(queries["query_id"].tolist(), k)
+        if len(queries) and len(documents):
+            _add_similarities(best, _unit_rows(queries["query_vector"], dimensions), documents)
+        return best.rows()
 
     return left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(nearest, schema)
 
