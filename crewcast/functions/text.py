@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 # no-break spaces and tabs too (Spark's plain trim removes only the space).
 WHITESPACE = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 
-_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# The same characters as a pattern; plain ranges are much faster than Unicode classes.
+_SPACE_RUN = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 # Texts that stand for a missing value.
 MISSING_TEXTS = ("nan", "none", "nat")
@@ -41,15 +42,26 @@ def text_or_empty(col: Column) -> Column:
     return strip(F.coalesce(col.cast("string"), F.lit("")))
 
 
-def collapse_spaces(col: Column) -> Column:
+# Anything but printable ASCII, a double space, or a space at an end: only such texts need work.
+_UNTIDY = r"[^ -~]|  |\A | \z"
+
+
+def _collapsed(col: Column) -> Column:
     return F.regexp_replace(strip(col), _SPACE_RUN, " ")
 
 
+def collapse_spaces(col: Column) -> Column:
+    return F.when(col.rlike(_UNTIDY), _collapsed(col)).otherwise(col)
+
+
 def clean_text(col: Column) -> Column:
     """Text with single spaces; null and the missing-value words become ''."""
-    stripped = text_or_empty(col)
-    return F.when(F.lower(stripped).isin(*MISSING_TEXTS), F.lit("")).otherwise(
-        F.regexp_replace(stripped, _SPACE_RUN, " ")
+    text = col.cast("string")
+    missing = r"\A(?i:" + "|".join(MISSING_TEXTS) + r")\z"
+    return (
+        F.when(text.rlike(_UNTIDY), F.regexp_replace(_collapsed(text), missing, ""))
+        .when(text.isNull() | F.lower(text).isin(*MISSING_TEXTS), F.lit(""))
+        .otherwise(text)
     )
 
 
@@ -74,10 +86,14 @@ def folded_name_key(col: Column) -> Column:
     return casefold(collapse_spaces(col))
 
 
+def known_text(col: Column) -> Column:
+    """Cleaned text, null when nothing is left."""
+    return F.nullif(clean_text(col), F.lit(""))
+
+
 def labelled(label: str, value: Column) -> Column:
     """'label: value', or null when the cleaned value is empty."""
-    cleaned = clean_text(value)
-    return F.when(cleaned != "", F.concat(F.lit(f"{label}: "), cleaned))
+    return F.concat(F.lit(f"{label}: "), known_text(value))
 
 
 @lru_cache(maxsize=1)

@@ -19,6 +19,12 @@ from pyspark.sql import types as T
 from crewcast.functions.numbers import round_binary
 from crewcast.functions.text import simple_name_key, strip, whitespace_words
 from crewcast.operators.filters import equality_filter
+from crewcast.operators.spreading import spread_small
+
+try:  # finds all words in one pass over a text; without it each word is searched by itself
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
 
 DEFAULT_TOP_K = 30
 GRAM = 3
@@ -26,7 +32,7 @@ RRF_CONSTANT = 60
 
 # Up to these sizes the queries are sent to the documents.
 MAX_INLINE_QUERIES = 2_000
-MAX_INLINE_TERMS = 50_000
+MAX_INLINE_TERMS = 50_000  # words of all queries; the word × query table stays below 100 MB
 # Beyond them, vectors are paired block by block.
 QUERY_BLOCK_ROWS = 2_000
 DOCUMENT_BLOCK_ROWS = 20_000
@@ -107,32 +113,27 @@ def _slices(count: int, queries: int) -> Iterator[slice]:
 
 
 class _Vocabulary:
-    """Finds which words occur in a text: words are looked up by their first characters."""
+    """Counts, for one text, how many of each query's words occur in it."""
 
     def __init__(self, term_lists: list[list[str]]):
-        terms = sorted({t for words in term_lists for t in words})
-        self.queries = len(term_lists)
-        holders: dict[str, list[int]] = {t: [] for t in terms}
+        self.terms = sorted({t for words in term_lists for t in words})
+        position = {t: n for n, t in enumerate(self.terms)}
+        self.holders = np.zeros((len(self.terms), len(term_lists)), dtype=np.uint8)
         for n, words in enumerate(term_lists):
-            for t in words:
-                holders[t].append(n)
-        self.holders = {t: np.array(q) for t, q in holders.items()}
-        self.short = [t for t in terms if len(t) < GRAM]
-        self.by_gram: dict[str, list[str]] = {}
-        for t in terms:
-            if len(t) >= GRAM:
-                self.by_gram.setdefault(t[:GRAM], []).append(t)
+            self.holders[[position[t] for t in words], n] = 1
+        self.automaton = None
+        if ahocorasick is not None and self.terms:
+            self.automaton = ahocorasick.Automaton()
+            for t, n in position.items():
+                self.automaton.add_word(t, n)
+            self.automaton.make_automaton()
 
     def scores(self, text: str) -> np.ndarray:
-        grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-        found = [t for t in self.short if t in text]
-        for gram in self.by_gram.keys() & grams:
-            found.extend(t for t in self.by_gram[gram] if t in text)
-        if not found:
-            return np.zeros(self.queries)
-        return np.bincount(
-            np.concatenate([self.holders[t] for t in found]), minlength=self.queries
-        ).astype(np.float64)
+        if self.automaton is not None:
+            found = list({n for _, n in self.automaton.iter(text)})
+        else:
+            found = [n for n, t in enumerate(self.terms) if t in text]
+        return self.holders[found].sum(axis=0, dtype=np.int32)
 
 
 def _score_schema(queries: DataFrame, documents: DataFrame, score: T.DataType) -> T.StructType:
@@ -182,7 +183,7 @@ def _scores_in_place(texts: DataFrame, terms: DataFrame, top_k: int | None) -> D
                 yield best.rows()
         yield best.rows()
 
-    return texts.mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
+    return spread_small(texts).mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
 
 
 def _grams(text: Column) -> Column:
@@ -292,7 +293,7 @@ def _neighbours_in_place(
             _add_similarities(best, units, batch)
         yield best.rows()
 
-    return vectors.mapInPandas(nearest, schema)
+    return spread_small(vectors).mapInPandas(nearest, schema)
 
 
 def _neighbours_by_blocks(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,15 +15,18 @@ from crewcast.functions.text import (
     casefold,
     clean_text,
     document_id,
+    known_text,
     labelled,
-    optional_int,
     null_if_blank,
+    optional_int,
     strip,
     truthy,
 )
 from crewcast.operators.chunking import assemble_chunks
 from crewcast.operators.filters import current_rows, known_rows
+from crewcast.operators.spreading import spread_small
 from crewcast.sources.profiles import ProfileTables
+from crewcast.sources.shared_storage import fresh_path, written
 
 # Size and overlap of profile chunks, and the source they are filed under.
 PROFILE_CHUNK, PROFILE_OVERLAP = 5000, 300
@@ -74,11 +78,18 @@ def overview_lines(people: DataFrame) -> DataFrame:
     return people.select("_person", F.lit(0).cast("bigint").alias("_row_id"), F.concat_ws("\n", *fields).alias("line"))
 
 
+def _kept(text: Column) -> Column:
+    """Generator: the text as a row of its own, or no row when it is empty or null.
+
+    A filter on the text would be pushed below the projection that builds it and build it twice.
+    """
+    return F.explode(F.filter(F.array(text), lambda t: t != ""))
+
+
 def _lines(df: DataFrame, name: str, line: Column) -> DataFrame:
     """(_person, _row_id, line) of a section table; empty lines dropped."""
-    return df.select(
-        casefold(strip(F.col(name).cast("string"))).alias("_person"), "_row_id", line.alias("line")
-    ).filter(F.col("line") != "")
+    person = casefold(strip(F.col(name).cast("string"))).alias("_person")
+    return df.select(person, "_row_id", _kept(line).alias("line"))
 
 
 def first_of_each(lines: DataFrame, value: str = "line", order: str = "_row_id") -> DataFrame:
@@ -94,16 +105,13 @@ def short_profile_lines(df: DataFrame) -> DataFrame:
 
 
 def _with_details(name: Column, *details: Column) -> Column:
-    """'name — detail; detail'; empty for an empty name."""
-    cleaned = clean_text(name)
-    present = F.concat_ws("; ", *details)
-    return F.when(cleaned == "", "").otherwise(
-        F.when(present == "", cleaned).otherwise(F.concat(cleaned, F.lit(DASH), present))
-    )
+    """'name — detail; detail'; null for an empty name."""
+    present = F.nullif(F.concat_ws("; ", *details), F.lit(""))
+    return F.concat(known_text(name), F.coalesce(F.concat(F.lit(DASH), present), F.lit("")))
 
 
 def _level() -> Column:
-    return F.nullif(clean_text(F.col("Knowledge_Level")), F.lit(""))
+    return known_text(F.col("Knowledge_Level"))
 
 
 def technology_lines(df: DataFrame) -> DataFrame:
@@ -133,20 +141,20 @@ def experience_lines(df: DataFrame) -> DataFrame:
 
 
 def simple_lines(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
-    values = [F.nullif(clean_text(F.col(c)), F.lit("")) for c in columns]
+    values = [known_text(F.col(c)) for c in columns]
     return first_of_each(_lines(current_rows(df), name, F.concat_ws(DASH, *values)))
 
 
 def _skills(named: DataFrame, order: str = "_row_id") -> DataFrame:
     """(_person, skills): distinct names in order of first appearance."""
-    distinct = first_of_each(named.filter(F.col("skill") != ""), "skill", order)
+    distinct = first_of_each(named, "skill", order)
     ordered = F.sort_array(F.collect_list(F.struct(order, "skill")))
     return distinct.groupBy("_person").agg(ordered["skill"].alias("skills"))
 
 
 def knowledge_skills(df: DataFrame, name: str) -> DataFrame:
     person = casefold(strip(F.col("EmployeeName").cast("string"))).alias("_person")
-    return _skills(known_rows(df).select(person, "_row_id", clean_text(F.col(name)).alias("skill")))
+    return _skills(known_rows(df).select(person, "_row_id", _kept(clean_text(F.col(name))).alias("skill")))
 
 
 def experience_skills(df: DataFrame) -> DataFrame:
@@ -162,7 +170,8 @@ def experience_skills(df: DataFrame) -> DataFrame:
         ]
     )
     person = casefold(strip(F.col("EmployeeName").cast("string"))).alias("_person")
-    return _skills(current_rows(df).select(person, F.inline(cells)), "_order")
+    present_cells = F.filter(cells, lambda c: c["skill"] != "")
+    return _skills(current_rows(df).select(person, F.inline(present_cells)), "_order")
 
 
 def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
@@ -172,6 +181,7 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     the join sees no repeated lines, and the sections' texts are cut into chunks without ever
     being built whole.
     """
+    tables = ProfileTables(**{f.name: spread_small(getattr(tables, f.name)) for f in fields(tables)})
     people = _people(tables.employees)
     # section → (separator between lines, lines, skills)
     sections: dict[str, tuple[str, DataFrame, DataFrame | None]] = {
@@ -235,6 +245,8 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     pieces = reduce(DataFrame.unionByName, lines).join(
         people.select("_person", "consultant_name"), "_person"
     )
+    # Offsets and chunks both read the pieces; written once, the ten tables are read once.
+    pieces = written(pieces, fresh_path(pieces.sparkSession, "profile-pieces"))
     # Every piece starts with its section's separator; the header adds what is missing to an
     # empty line between header and first line.
     wide_gap = F.col("section").isin(*[n for n, s in sections.items() if s[0] == "\n\n"])

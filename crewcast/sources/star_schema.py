@@ -288,23 +288,21 @@ class StarSchema:
         )
         return chat.unionByName(asked)
 
+    def search_texts(self) -> DataFrame:
+        return self.table("documents").select(
+            F.col("doc_id").alias("id"),
+            F.concat(F.lit("Document "), "lang").alias("title"),
+            F.col("text").alias("content"),
+            F.col("source").alias("consultant_name"),
+            F.col("lang").alias("source_type"),
+        )
+
     def search_documents(self) -> DataFrame:
         """Documents as search rows, with their vector where one exists."""
         vectors = self.table("embeddings").select(
-            F.col("vec_id").alias("doc_id"), F.col("embedding").alias("content_vector")
-        )
-        return (
-            self.table("documents")
-            .join(vectors, "doc_id", "left")
-            .select(
-                F.col("doc_id").alias("id"),
-                F.concat(F.lit("Document "), "lang").alias("title"),
-                F.col("text").alias("content"),
-                F.col("source").alias("consultant_name"),
-                F.col("lang").alias("source_type"),
-                "content_vector",
-            )
+            F.col("vec_id").alias("id"), F.col("embedding").alias("content_vector")
         )
+        return self.search_texts().join(vectors, "id", "left")
 
     def search_queries(self) -> DataFrame:
         vectors = self.table("embeddings").select(

@@ -52,13 +52,13 @@ def _indexed(s: StarSchema) -> DataFrame:
 
 
 def _keyword(s: StarSchema, **options) -> DataFrame:
-    return retrieval.keyword_search(s.search_documents(), s.search_queries(), **options)
+    return retrieval.keyword_search(s.search_texts(), s.search_queries(), **options)
 
 
 def _hits(s: StarSchema) -> DataFrame:
     hits = _keyword(s, top_k=30)
     return hits.join(
-        s.search_documents().select("id", "title", "content", "consultant_name"), "id"
+        s.search_texts().drop("source_type"), "id"
     )
 
 
