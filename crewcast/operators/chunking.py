@@ -58,9 +58,9 @@ def assemble_chunks(
     The whole text is never built. Each piece gets its offset in the text (a running sum kept
     in two levels: inside ranges of the order column, then over the ranges), is copied to the
     chunks it touches, and each chunk gathers only its own few thousand characters. A key with
-    very many pieces is therefore spread over many tasks. `order` is a bigint, unique per key;
-    a range of `bucket_rows` consecutive values holds at most that many pieces. `prefix` is an
-    expression over the keys.
+    very many pieces is therefore spread over many tasks. `order` is a bigint, unique per key
+    (equal values are put in the order of their text); a range of `bucket_rows` consecutive
+    values holds at most that many pieces. `prefix` is an expression over the keys.
     """
     check_chunking(chunk_size, overlap)
     step = chunk_size - overlap
@@ -72,7 +72,11 @@ def assemble_chunks(
         F.length(F.col(piece)).cast("bigint").alias("_length"),
     )
     over_ranges = Window.partitionBy(*keys).orderBy("_range")
-    in_range = Window.partitionBy(*keys, "_range").orderBy(order)
+    in_range = (
+        Window.partitionBy(*keys, "_range")
+        .orderBy(order, "_piece")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     ranges = (
         sized.groupBy(*keys, "_range")
         .agg(F.sum("_length").alias("_range_length"))

@@ -105,6 +105,12 @@ class _Best:
         self.pending = 0
         return pd.DataFrame({"query_id": self.query_ids[cols], "id": ids, "score": scores})
 
+    def frames(self) -> Iterator[pd.DataFrame]:
+        """The rows as one frame, or nothing when there are none."""
+        rows = self.rows()
+        if len(rows):
+            yield rows
+
 
 def _slices(count: int, queries: int) -> Iterator[slice]:
     size = max(1, SCORES_AT_ONCE // max(queries, 1))
@@ -180,8 +186,8 @@ def _scores_in_place(texts: DataFrame, terms: DataFrame, top_k: int | None) -> D
             for part in _slices(len(ids), len(query_ids)):
                 best.add(np.stack([vocabulary.scores(t) for t in found[part]]), ids[part])
             if top_k is None:
-                yield best.rows()
-        yield best.rows()
+                yield from best.frames()
+        yield from best.frames()
 
     return spread_small(texts).mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
 
@@ -291,7 +297,7 @@ def _neighbours_in_place(
         best = _Best(query_ids, k)
         for batch in batches:
             _add_similarities(best, units, batch)
-        yield best.rows()
+        yield from best.frames()
 
     return spread_small(vectors).mapInPandas(nearest, schema)
 

@@ -82,7 +82,8 @@ def derived_profiles(star: StarSchema) -> ProfileTables:
         )
     )
     status = F.when(order % 19 == 0, "Former").when(order % 7 != 0, "current")
-    name, line = F.col("employee"), F.col("l_orderkey") * 1000000 + F.col("l_partkey")
+    name = F.col("employee")
+    line = (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100 + F.year("l_shipdate") % 100
     supplies = (
         star.table("lineitem")
         .select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")

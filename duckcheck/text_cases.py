@@ -214,7 +214,7 @@ lines AS (
     UNION ALL SELECT 'Professional experience', lower(name), line, rid FROM ({_EXPERIENCE})
     UNION ALL SELECT 'Academic qualifications', lower(c_name), 'BSc ' || c_mktsegment, c_custkey FROM customer WHERE c_custkey % 8 <> 0
     UNION ALL {_distinct_lines(f"SELECT name, rid, concat_ws(' — ', 'Training ' || o_orderpriority, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END, CAST(year(o_orderdate) AS VARCHAR)) AS line FROM {_ORDERS} WHERE {_CURRENT}", 'Trainings')}
-    UNION ALL {_distinct_lines(f"SELECT {_PERSON.format('l_suppkey')} AS name, min(l_orderkey * 1000000 + l_partkey) AS rid, 'Certified ' || p_brand || ' — ' || p_type || ' — ' || year(l_shipdate) AS line FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand, p_type, year(l_shipdate)", 'Certifications')}
+    UNION ALL {_distinct_lines(f"SELECT {_PERSON.format('l_suppkey')} AS name, min((l_orderkey * 1000000 + l_partkey) * 100 + year(l_shipdate) % 100) AS rid, 'Certified ' || p_brand || ' — ' || p_type || ' — ' || year(l_shipdate) AS line FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand, p_type, year(l_shipdate)", 'Certifications')}
     UNION ALL SELECT 'Languages', lower(c_name), 'Language ' || n_name || CASE WHEN c_custkey % 2 = 0 THEN ' — C1' ELSE '' END, c_custkey
               FROM customer JOIN nation ON c_nationkey = n_nationkey),
 skills AS (
