@@ -45,14 +45,16 @@ def _check_top_k(top_k: int | None) -> None:
 
 
 def top_per_query(scored: DataFrame, top_k: int | None) -> DataFrame:
-    """Adds rank by score, ties by id, and keeps the first top_k.
+    """The first top_k per query by score, ties by id, with their rank.
 
     The limit on row_number lets Spark cut every task's rows to top_k per query before the
-    shuffle, so a query that matches everything is never gathered whole.
+    shuffle, so a query that matches everything is never gathered whole. Without a limit the
+    rows are only sorted, over all tasks, and carry no rank.
     """
+    if top_k is None:
+        return scored.orderBy("query_id", F.col("score").desc(), "id")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -236,7 +238,7 @@ def keyword_search(
     filters: Mapping[str, Any] | None = None,
     max_inline_terms: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
-    """query_id, id, score, rank of the documents that contain any of the query's words."""
+    """query_id, id, score (and rank, with top_k) of the documents with any of the query's words."""
     _check_top_k(top_k)
     kept = documents.filter(equality_filter(documents, filters)) if filters else documents
     return top_per_query(keyword_scores(kept, queries, top_k, max_inline_terms), top_k)

@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 from crewcast.functions.numbers import share_of_week
 
 
+def assignment_owners(assignments: DataFrame) -> DataFrame:
+    """ActivityAssignment_Id → Resource_Id; an assignment with two owners fails the query.
+
+    Grouped by the join key itself, so the join that follows needs no further shuffle of it.
+    """
+    shared = F.concat(F.lit("assignment with more than one person: "), "ActivityAssignment_Id")
+    return (
+        assignments.groupBy("ActivityAssignment_Id")
+        .agg(F.min("Resource_Id").alias("_low"), F.max("Resource_Id").alias("_high"))
+        .select(
+            "ActivityAssignment_Id",
+            F.when(F.col("_low") == F.col("_high"), F.col("_low"))
+            .otherwise(F.raise_error(shared))
+            .alias("Resource_Id"),
+        )
+    )
+
+
 def resource_weekly_time(time_entries: DataFrame, assignments: DataFrame) -> DataFrame:
     """Hours, days and capacity per person and week.
 
-    Hours are summed per assignment and week before the join, so an assignment with very many
-    entries brings at most one row per week to it.
+    The entries are shuffled once, by assignment; adaptive execution splits an assignment that
+    holds a large share of them. The sums per person and week are then combined map-side.
     """
-    owners = assignments.select("ActivityAssignment_Id", "Resource_Id").distinct()
     return (
-        time_entries.groupBy("ActivityAssignment_Id", "WeekStart")
-        .agg(
-            F.sum("Logged_Hours").alias("Logged_Hours"),
-            F.sum("Consumed_Days").alias("Consumed_Days"),
-        )
-        .join(owners, "ActivityAssignment_Id")
+        time_entries.select("ActivityAssignment_Id", "WeekStart", "Logged_Hours", "Consumed_Days")
+        .join(assignment_owners(assignments), "ActivityAssignment_Id")
         .groupBy("Resource_Id", "WeekStart")
         .agg(
             F.sum("Logged_Hours").alias("Logged_Hours"),

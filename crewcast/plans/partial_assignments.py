@@ -26,14 +26,10 @@ def partial_weeks(data: MasterData, run_date: str | date) -> DataFrame:
     active = eligible.filter(active_on(day) & F.col("PROJECT_ID").isNotNull()).select(
         *GROUPING, "ActivityAssignment_Id"
     )
-    history = (
-        data.time_entries.filter(
-            (F.col("WeekStart") >= F.lit(this_week - 52 * WEEK))
-            & (F.col("WeekStart") < F.lit(this_week))
-        )
-        .groupBy("ActivityAssignment_Id", "WeekStart")
-        .agg(F.sum("Logged_Hours").alias("Logged_Hours"))
-    )
+    history = data.time_entries.filter(
+        (F.col("WeekStart") >= F.lit(this_week - 52 * WEEK))
+        & (F.col("WeekStart") < F.lit(this_week))
+    ).select("ActivityAssignment_Id", "WeekStart", "Logged_Hours")
     return (
         active.join(history, "ActivityAssignment_Id")
         .groupBy(*GROUPING, "WeekStart")

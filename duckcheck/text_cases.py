@@ -280,7 +280,7 @@ CASES: dict[str, Case] = {
     "keyword_search_all": case(
         lambda s: _keyword(s, filters={"source_type": "en"}),
         """
-        SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank
+        SELECT query_id, id, score
         FROM keyword_scores JOIN search_documents USING (id) WHERE source_type = 'en'""",
     ),
     "vector_search": case(

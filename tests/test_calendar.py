@@ -149,3 +149,9 @@ def test_hot_person(spark):
     time = [hours(f"a{n}", "2026-02-02", 0.5) for n in range(3000)]
     row = cells(consultant_calendar(master(spark, people, time), AS_OF), "1")["2026-02-02"]
     assert row["Logged_Hours"] == 1500.0 and row["Active_Projects"] == 3000
+
+
+def test_assignment_with_two_people_is_refused(spark):
+    people = [assignment("1", "same", "2026-01-01", None), assignment("2", "same", "2026-01-01", None)]
+    with pytest.raises(Exception, match="assignment with more than one person: same"):
+        consultant_calendar(master(spark, people, [hours("same", "2026-02-02", 8)]), AS_OF).collect()

@@ -212,3 +212,18 @@ def test_weekly_hours_start_on_monday(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     result = feeds.run_available(feeds.weekly_hours(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     assert [(str(r.WeekStart), r.Logged_Hours, r.Consumed_Days) for r in result.collect()] == [("2026-07-13", 8.0, 1.0)]
+
+
+def test_profile_tables_are_read_back(spark, tmp_path):
+    from dataclasses import fields
+
+    from crewcast.sources.profiles import derived_profiles
+    from crewcast.sources.star_schema import StarSchema
+
+    derived = derived_profiles(StarSchema(spark, "/root/testdata/sf0.001"))
+    for field in fields(ProfileTables):
+        getattr(derived, field.name).write.option("header", True).csv(str(tmp_path / field.name))
+    stored = ProfileTables.read(spark, str(tmp_path), "csv")
+    assert stored.employees.schema["_row_id"].dataType.typeName() == "long"
+    assert stored.languages.count() == derived.languages.count()
+    assert stored.employees.first()["Employee Name"].strip().startswith("Customer#")

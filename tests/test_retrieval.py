@@ -69,7 +69,7 @@ def test_keyword_routes_agree_on_larger_data(spark):
 
 def test_top_k_and_filters(documents, queries):
     best = retrieval.keyword_search(documents, queries, top_k=1, filters={"source_type": "notes", "id": None})
-    assert sorted((r.query_id, r.id, r.rank) for r in best.collect()) == [("q1", "d3", 1), ("q2", "d3", 1), ("q4", "d5", 1)]
+    assert sorted((r.query_id, r.id, r.rank) for r in best.collect()) == [("q1", "d3", 1), ("q2", "d3", 1), ("q4", "d3", 1)]
     with pytest.raises(ValueError, match="top_k must be greater than zero"):
         retrieval.keyword_search(documents, queries, top_k=0)
 
