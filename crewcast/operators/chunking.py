@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crewcast.operators.numbering import ROWS_PER_RANGE, with_order_ranges
+
 
 def check_chunking(chunk_size: int, overlap: int) -> None:
     if chunk_size <= 0:
@@ -51,24 +53,25 @@ def assemble_chunks(
     *,
     chunk_size: int,
     overlap: int,
-    bucket_rows: int = 100_000,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Chunks of prefix + pieces put together in order, per key.
 
-    The whole text is never built. Each piece gets its offset in the text (a running sum kept
-    in two levels: inside ranges of the order column, then over the ranges), is copied to the
-    chunks it touches, and each chunk gathers only its own few thousand characters. A key with
-    very many pieces is therefore spread over many tasks. `order` is a bigint, unique per key
-    (equal values are put in the order of their text); a range of `bucket_rows` consecutive
-    values holds at most that many pieces. `prefix` is an expression over the keys.
+    The whole text is never built. Each piece gets its offset in the text (a running sum in two
+    levels, inside ranges of the order column and over the ranges), is copied to the chunks it
+    touches, and each chunk gathers only its own few thousand characters. A key with very many
+    pieces is therefore spread over many tasks. `order` is a bigint, unique per key (equal values
+    are put in the order of their text). `prefix` is an expression over the keys.
+
+    The pieces are read several times: give a stored table.
     """
     check_chunking(chunk_size, overlap)
     step = chunk_size - overlap
-    sized = pieces.select(
+    sized = with_order_ranges(pieces, order, rows_per_range=rows_per_range).select(
         *keys,
         order,
+        "_range",
         F.col(piece).alias("_piece"),
-        F.floor(F.col(order) / bucket_rows).alias("_range"),
         F.length(F.col(piece)).cast("bigint").alias("_length"),
     )
     over_ranges = Window.partitionBy(*keys).orderBy("_range")

@@ -1,12 +1,38 @@
-"""Row numbers inside groups of any size."""
+"""Running totals and row numbers inside groups of any size.
+
+A plain window sorts a key that holds a third of all rows in one task. Here the order column is
+cut into ranges of about equal row counts. Rows are numbered or summed inside (key, range), and
+each range starts where the ranges before it end; those totals are one small row per range.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_RANGE = 100_000
+MOST_RANGES = 10_000
+
+
+def with_order_ranges(
+    df: DataFrame, order: str, name: str = "_range", rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Adds the range that the numeric `order` falls into; ranges follow its quantiles.
+
+    Two passes over the order column alone; whatever its distribution, a range holds about
+    `rows_per_range` rows of all keys together, more only above MOST_RANGES ranges.
+    """
+    ranges = min(df.count() // rows_per_range, MOST_RANGES)
+    if ranges < 2:
+        return df.withColumn(name, F.lit(0.0))
+    steps = [n / ranges for n in range(1, ranges)]
+    cuts = sorted(set(df.approxQuantile(order, steps, 0.1 / ranges)))
+    edges = [float("-inf"), *cuts, float("inf")]
+    return Bucketizer(splits=edges, inputCol=order, outputCol=name).transform(df)
+
 
 def number_rows(
     df: DataFrame,
@@ -14,15 +40,10 @@ def number_rows(
     order: str,
     name: str,
     ties: Sequence[str] = (),
-    bucket_rows: int = 100_000,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Numbers rows from 1 per key by an integer order column.
-
-    A plain window would sort a key that holds a third of all rows in one task. Here rows are
-    numbered inside ranges of the order column, and each range starts where the counts of the
-    ranges before it end. The range counts are one small row per range.
-    """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / bucket_rows))
+    """Numbers rows from 1 per key by a numeric order column."""
+    ranged = with_order_ranges(df, order, rows_per_range=rows_per_range)
     over_ranges = Window.partitionBy(*keys).orderBy("_range")
     before = (
         ranged.groupBy(*keys, "_range")

@@ -256,7 +256,7 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     )
     chunks = assemble_chunks(
         pieces,
-        ["_person", "consultant_name", "section"],
+        ["consultant_name", "section"],
         "_row_id",
         "piece",
         header,
@@ -265,6 +265,7 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     )
     details = people.select(
         "consultant_name",
+        "_person",
         clean_text(F.col("Email")).alias("consultant_id"),
         clean_text(F.col("Job level")).alias("level"),
         clean_text(F.col("Group")).alias("group"),

@@ -42,21 +42,19 @@ def parse_audit_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     parsed = F.from_json(
         F.col(line), _LINE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     )
-    others = [c for c in lines.columns if c != line]
+    others = [f"`{c}`" for c in lines.columns if c != line]
 
     def field(name: str, kind: str):
-        value = F.col(f"_event.{name}")
+        value = F.col(name)
         if kind == "boolean":
             return F.when(value.isNotNull(), truthy(value)).alias(name)
         return (value if kind == "string" else value.try_cast(kind)).alias(name)
 
     return (
         lines.filter(strip(F.col(line)) != "")
-        .withColumn("_event", parsed)
-        .filter(
-            F.col("_event._broken").isNull()
-            & F.col("_event.event_type").isin(COMPLETED, FAILED)
-        )
+        # A generator parses each line once; a plain column would be parsed again per field.
+        .select(*others, F.inline(F.array(parsed)))
+        .filter(F.col("_broken").isNull() & F.col("event_type").isin(COMPLETED, FAILED))
         .select(*others, *[field(name, kind) for name, kind in AUDIT_FIELDS.items()])
     )
 
