@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +23,6 @@ from crewcast.functions.text import (
 )
 from crewcast.operators.chunking import assemble_chunks
 from crewcast.operators.filters import current_rows, known_rows
-from crewcast.operators.spreading import spread_small
 from crewcast.sources.profiles import ProfileTables
 from crewcast.sources.shared_storage import fresh_path, written
 
@@ -181,7 +179,6 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     the join sees no repeated lines, and the sections' texts are cut into chunks without ever
     being built whole.
     """
-    tables = ProfileTables(**{f.name: spread_small(getattr(tables, f.name)) for f in fields(tables)})
     people = _people(tables.employees)
     # section → (separator between lines, lines, skills)
     sections: dict[str, tuple[str, DataFrame, DataFrame | None]] = {
