@@ -26,27 +26,31 @@ def week_value(weeks: Column, week: date, field: str) -> Column:
 
 
 def wide_weeks(
-    long: DataFrame, keys: Sequence[str], week: str, value: str, weeks: Sequence[date]
+    long: DataFrame,
+    keys: Sequence[str],
+    week: str,
+    value: str,
+    weeks: Sequence[date],
+    owner: str,
 ) -> DataFrame:
     """One row per key and one column per week, named YYYY-MM-DD.
 
-    The week list is given, so no job is needed to find the columns. A key that has two rows in
-    one week fails the query and names the key. Rows are counted per key and week first; the
-    per-key list then holds at most one entry per week.
+    The week list is given, so no job is needed to find the columns. `long` has one row per
+    owner and week; the weeks of an owner are gathered first, so a list never holds more than
+    one entry per week. A key that belongs to two owners fails the query and is named.
     """
-    cells = long.groupBy(*[f"`{k}`" for k in keys], week).agg(
-        F.min(value).alias("_value"), F.count("*").alias("_rows")
+    quoted = [f"`{k}`" for k in keys]
+    per_owner = long.groupBy(*quoted, owner).agg(week_map(week, value).alias("_weeks"))
+    per_key = per_owner.groupBy(*quoted).agg(
+        F.first("_weeks").alias("_weeks"), F.count("*").alias("_owners")
     )
-    wide = cells.groupBy(*[f"`{k}`" for k in keys]).agg(
-        week_map(week, "_value").alias("_weeks"), F.max("_rows").alias("_rows")
-    )
-    named = F.concat_ws(" / ", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in keys])
+    named = F.concat_ws(" / ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in quoted])
     unique = F.when(
-        F.col("_rows") > 1, F.raise_error(F.concat(F.lit("more than one row per week for: "), named))
+        F.col("_owners") > 1,
+        F.raise_error(F.concat(F.lit("more than one row per week for: "), named)),
     ).otherwise(F.col("_weeks"))
-    return wide.select(*[f"`{k}`" for k in keys], unique.alias("_weeks")).select(
-        *[f"`{k}`" for k in keys],
-        *[week_value(F.col("_weeks"), w, "_value").alias(w.isoformat()) for w in weeks],
+    return per_key.select(*quoted, unique.alias("_weeks")).select(
+        *quoted, *[week_value(F.col("_weeks"), w, value).alias(w.isoformat()) for w in weeks]
     )
 
 

@@ -39,16 +39,27 @@ def tracker_weeks(calendar: DataFrame) -> DataFrame:
 
 
 def consultant_tracker(calendar: DataFrame, as_of: str | date) -> DataFrame:
+    """Wide form of `tracker_weeks`.
+
+    The calendar has every week for every person, so the lowest Resource_Id is the same in each
+    week of a group and name: a person's weeks are gathered first, people are merged after that.
+    """
+    require_columns(calendar, CALENDAR_COLUMNS, "Consultant calendar")
     weeks = ReportingYear.of(as_of).weeks
-    rows = (
-        tracker_weeks(calendar)
-        .groupBy(*TRACKER_KEYS)
+    people = (
+        calendar.filter(F.col("Consultant_Name").isNotNull() & F.col("WeekStart").isNotNull())
+        .groupBy(*TRACKER_KEYS, "Resource_Id")
         .agg(
-            iso_text(F.min("Expected_Availability_Date")).alias("Expected_Availability_Date"),
-            F.coalesce(F.max("Active_Projects"), F.lit(0)).alias("Active_Projects"),
+            F.min("Expected_Availability_Date").alias("available"),
+            F.max("Active_Projects").alias("projects"),
             week_map("WeekStart", "CalendarValue", "CalendarStatus").alias("_weeks"),
         )
     )
+    rows = people.groupBy(*TRACKER_KEYS).agg(
+        iso_text(F.min("available")).alias("Expected_Availability_Date"),
+        F.coalesce(F.max("projects"), F.lit(0)).alias("Active_Projects"),
+        F.min_by("_weeks", "Resource_Id").alias("_weeks"),
+    )
     cells = F.col("_weeks")
     return rows.select(
         *TRACKER_KEYS,

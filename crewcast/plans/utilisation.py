@@ -82,14 +82,17 @@ def utilisation(calendar: DataFrame, as_of: str | date) -> DataFrame:
         "WeekStart",
         "MetricValue",
         ReportingYear.of(as_of).weeks,
+        owner="MetricOrder",
     )
     return wide.orderBy("MetricOrder").drop("MetricOrder")
 
 
 def utilisation_detailed(calendar: DataFrame, as_of: str | date) -> DataFrame:
     """Fails when two people share name, level, group and location."""
-    require_columns(calendar, (*DETAIL_KEYS, "WeekStart", "CalendarValue"), "Consultant calendar")
+    needed = (*DETAIL_KEYS, "Resource_Id", "WeekStart", "CalendarValue")
+    require_columns(calendar, needed, "Consultant calendar")
+    weeks = ReportingYear.of(as_of).weeks
     wide = wide_weeks(
-        calendar, DETAIL_KEYS, "WeekStart", "CalendarValue", ReportingYear.of(as_of).weeks
+        calendar, DETAIL_KEYS, "WeekStart", "CalendarValue", weeks, owner="Resource_Id"
     )
     return wide.orderBy(*[F.col(k).asc_nulls_last() for k in DETAIL_KEYS])
