@@ -18,6 +18,7 @@ from crewcast.functions.text import (
     labelled,
     null_if_blank,
     optional_int,
+    skill_list,
     strip,
     truthy,
 )
@@ -310,8 +311,7 @@ def index_rows(documents: DataFrame, indexed_at: Column, vectors: DataFrame | No
     if "skills" not in have:
         skills = F.array().cast("array<string>")
     elif dict(documents.dtypes)["skills"] == "string":
-        parts = F.split(F.coalesce("skills", F.lit("")), ",")
-        skills = F.filter(F.transform(parts, strip), lambda s: s != "")
+        skills = skill_list(F.col("skills"))
     else:
         given = F.coalesce("skills", F.array().cast("array<string>"))
         skills = F.filter(F.transform(given, strip), lambda s: s != "")
