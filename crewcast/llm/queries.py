@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crewcast.llm.near_dup import near_duplicates
+from crewcast.llm.packing import packed
 from crewcast.llm.substrings import substring_digests
+from crewcast.llm.toxicity import toxicity_scores
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_documents(spark, folder))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder))
 
@@ -22,9 +32,15 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digests(_documents(spark, folder))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(_documents(spark, folder), _labels(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
