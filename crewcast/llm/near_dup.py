@@ -8,15 +8,18 @@ has at least two chunks with one differing symbol or none (14 chunks with two ea
 28), so its texts share a key "chunk without one of its symbols" for two chunks. The 64 keys of a
 text enumerate the allowed error of each chunk.
 
-Groups of any size are handled without all pairs of a group:
+Groups of any size are handled without a row for each pair of a group:
 
 1. Equal word sequences are one class; only class representatives go on.
-2. Every text of a bucket is compared with the bucket's smallest id; links join components.
-3. What is left are pairs in one bucket but different components. Each is compared, where one
-   side lies outside the bucket's largest component. A bucket that still has many components is
-   first divided by a second key, which pairs within the radius also share.
-
-Candidates are confirmed on their full sets. No bucket is capped or sampled.
+2. Each text is compared with the nearest (by signature) of the smallest ids of its buckets;
+   links join components. This settles dense groups in one comparison a text.
+3. What is left are pairs in one bucket but different components, where one text lies outside the
+   bucket's largest component. A bucket's texts are dealt out in tiles of bounded size; a tile
+   compares signatures and reports for each text the partners within the radius. A pair is
+   reported by the first key it shares only.
+
+Candidates are confirmed on their full sets, which meet in groups of bounded size. No bucket is
+capped or sampled.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
 #: Below 2 * (CHUNKS - 1): two chunks have one error at most.
 RADIUS = 28
-#: Components of a bucket from which it is divided by a second key.
-MANY = 200
+#: Texts of a side of a tile, about; and of those that are confirmed together with one text.
+TILE, TOGETHER = 1024, 256
 
 _draw = np.random.default_rng(20_240_501)
 _FACTORS = _draw.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,12 +73,14 @@ def _sketches(batches):
 
 
 def _sets(batches):
+    """group, id, partners, text -> group, id, partners, the set of the text."""
     hashes = WordHashes()
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = [shingles((text or b"").lower().split(), hashes) for text in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), long_list(np.concatenate(sets), [len(s) for s in sets])], names=["id", "items"]
+                [*batch.columns[:3], long_list(np.concatenate(sets), [len(s) for s in sets])],
+                names=["group", "id", "partners", "items"],
             )
 
 
@@ -103,95 +108,156 @@ def _keys(batches):
             )
 
 
-def _second_keys(batches):
-    """key, id, comp, sign -> the key joined with each key of the other chunks."""
+def _distances(batches):
+    """id, sign, low, sign of low -> id, low, differing symbols, within the radius."""
     for batch in batches:
         if batch.num_rows:
-            first = batch.column(0).to_numpy()
-            seconds = chunk_keys(_matrix(batch.column(3)))
-            other = (first >> 48)[:, None] // CHUNK != np.arange(SYMBOLS)[None, :] // CHUNK
-            joined = mixed(mixed(first.view(np.uint64))[:, None] + seconds.view(np.uint64)).view(np.int64)
-            times = SYMBOLS - CHUNK
+            apart = (_matrix(batch.column(1)) != _matrix(batch.column(3))).sum(axis=1)
+            near = pa.array(apart <= RADIUS)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(joined[other]),
-                    pa.array(np.repeat(batch.column(1).to_numpy(), times)),
-                    pa.array(np.repeat(batch.column(2).to_numpy(), times)),
-                ],
-                names=["key", "id", "comp"],
+                [batch.column(0).filter(near), batch.column(2).filter(near), pa.array(apart[apart <= RADIUS], pa.int64())],
+                names=["id", "low", "apart"],
             )
 
 
-def _within_radius(batches):
-    """Pairs whose signatures differ in RADIUS symbols at most."""
+def _runs(batches, columns: int):
+    """Tables of the rows that agree in the first columns; rows come sorted by these."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows:
-            near = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(axis=1) <= RADIUS
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"]
-            )
-
-
-def _similar(batches):
-    """Pairs whose full sets reach the similarity."""
-    for batch in batches:
-        links = []
-        for left, right in zip(batch.column(2), batch.column(3), strict=True):
-            one, two = left.values.to_numpy(), right.values.to_numpy()
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            links.append(100 * common >= 75 * (len(one) + len(two) - common))
-        kept = pa.array(links, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
-
-
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, written."""
-    spark = docs.sparkSession
-    signs = nodes.select("id", "sign")
-    near = written(
-        pairs.join(signs.toDF("a", "sign_a"), "a")
-        .join(signs.toDF("b", "sign_b"), "b")
-        .select("a", "b", "sign_a", "sign_b")
-        .mapInArrow(_within_radius, "a bigint, b bigint"),
-        fresh_path(spark, "near-pairs"),
-    )
-    needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    # Repeated rows of an id give one set each; any of them may link it.
-    sets = written(
-        docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_sets, "id bigint, items array<bigint>"),
-        fresh_path(spark, "sets"),
-    )
-    return written(
-        near.join(sets.toDF("b", "items_b"), "b")
-        .join(sets.toDF("a", "items_a"), "a")
-        .select("a", "b", "items_a", "items_b")
-        .mapInArrow(_similar, "a bigint, b bigint")
-        .distinct(),
-        fresh_path(spark, "near-links"),
+        if not batch.num_rows:
+            continue
+        if held and any(held[0].column(n)[0] != batch.column(n)[0] for n in range(columns)):
+            yield pa.Table.from_batches(held)
+            held = []
+        changes = np.zeros(batch.num_rows - 1, bool)
+        for n in range(columns):
+            changes |= np.diff(batch.column(n).to_numpy()) != 0
+        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tile_partners(batches):
+    """key, x_tile, y_tile, outside, id, comp, sign by tile -> group, id, partners.
+
+    Rows with `outside` are compared with the others of their tile.
+    """
+    names = ["group", "id", "partners"]
+    groups, ids, partners = [], [], []
+    for run in _runs(batches, 3):
+        outside = run.column(3).to_numpy()
+        if not outside.any() or outside.all():
+            continue
+        id_, comp = run.column(4).to_numpy(), run.column(5).to_numpy()
+        sign = np.frombuffer(b"".join(run.column(6).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        key = run.column(0)[0].as_py()
+        group = int(mixed(np.array([key ^ run.column(1)[0].as_py() << 20 ^ run.column(2)[0].as_py()], np.int64).view(np.uint64)).view(np.int64)[0])
+        own = key >> 48
+        inside = ~outside
+        y_id, y_comp, y_sign, y_main = id_[inside], comp[inside], sign[inside], run.column(7).to_numpy()[inside]
+        met: set[int] = set()
+        for n in np.flatnonzero(outside):
+            differs = y_sign != sign[n]
+            # Two texts outside the main component meet twice; the smaller id reports.
+            near = (differs.sum(axis=1) <= RADIUS) & (y_comp != comp[n]) & (y_main | (id_[n] < y_id))
+            at = np.flatnonzero(near)
+            if len(at):
+                # The first key both share: the first chunk with one error at most, and its hole.
+                errors = differs[at].reshape(len(at), CHUNKS, CHUNK)
+                chunk = (errors.sum(axis=2) <= 1).argmax(axis=1)
+                first = chunk * CHUNK + errors[np.arange(len(at)), chunk].argmax(axis=1)
+                found = y_id[at[first == own]]
+                if len(found):
+                    groups.append(group)
+                    ids.append(int(id_[n]))
+                    partners.append(found)
+                    met.update(found.tolist())
+        groups += [group] * len(met)
+        ids += met
+        partners += [np.empty(0, np.int64)] * len(met)
+        if len(ids) > 10_000:
+            yield _partner_batch(groups, ids, partners, names)
+            groups, ids, partners = [], [], []
+    if ids:
+        yield _partner_batch(groups, ids, partners, names)
+
+
+def _partner_batch(groups, ids, partners, names) -> pa.RecordBatch:
+    lists = long_list(np.concatenate(partners), [len(p) for p in partners])
+    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(ids, pa.int64()), lists], names=names)
+
+
+def _group_links(batches):
+    """group, id, partners, items by group -> a, b of the similar pairs."""
+    for run in _runs(batches, 1):
+        ids = run.column(1).to_pylist()
+        lists = [x.values.to_numpy() for chunk in run.column(3).chunks for x in chunk]
+        sets: dict[int, list[np.ndarray]] = {}
+        for id_, items in zip(ids, lists, strict=True):
+            # Rows repeated under an id may have several texts; any of them may link it.
+            if not any(np.array_equal(items, known) for known in sets.setdefault(id_, [])):
+                sets[id_].append(items)
+        links = set()
+        for id_, partners in zip(ids, run.column(2).to_pylist(), strict=True):
+            for other in partners:
+                if any(_reach(one, two) for one in sets[id_] for two in sets.get(other, ())):
+                    links.add((min(id_, other), max(id_, other)))
+        a, b = zip(*sorted(links), strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _reach(one: np.ndarray, two: np.ndarray) -> bool:
+    """Similarity 0.75 or more; the smaller set bounds what can be common."""
+    if 100 * min(len(one), len(two)) < 75 * max(len(one), len(two)):
+        return False
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= 75 * (len(one) + len(two) - common)
+
+
+def _confirmed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The links (a, b) among wanted (group, id, partners), written. Partners are ids of the group."""
+    sets = (
+        docs.select(F.col("doc_id").alias("id"), "text")
+        .join(wanted.hint("merge"), "id")  # grows with the documents: never broadcast
+        .select("group", "id", "partners", "text")
+        .mapInArrow(_sets, "group bigint, id bigint, partners array<bigint>, items array<bigint>")
     )
+    links = sets.repartition("group").sortWithinPartitions("group").mapInArrow(_group_links, "a bigint, b bigint")
+    return written(links.distinct(), fresh_path(docs.sparkSession, "near-links"))
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
-    """key, main, comps: buckets whose texts lie in several components."""
+    """key, main, x_tiles, y_tiles: buckets whose texts lie in several components."""
     return (
         members.groupBy("key", "comp")
         .agg(F.count("*").alias("n"))
         .groupBy("key")
-        .agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
+        .agg(F.max("n").alias("largest"), F.max_by("comp", "n").alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"))
         .filter("comps > 1")
+        .select(
+            "key",
+            "main",
+            F.ceil((F.col("n") - F.col("largest")) / TILE).alias("x_tiles"),
+            F.ceil(F.col("n") / TILE).alias("y_tiles"),
+        )
     )
 
 
-def _pairs_across(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket in different components; one side is outside the main one."""
-    inside = members.join(buckets.select("key", "main"), "key")
-    outside = inside.filter("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("comp_x"))
-    return (
-        outside.join(inside.select("key", F.col("id").alias("y"), F.col("comp").alias("comp_y")), "key")
-        .filter("comp_x <> comp_y")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+def _tiles(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Each member once for its own row of tiles, and, outside the main component, for its column."""
+    placed = members.join(buckets, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    tile = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
+    over = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    as_y = placed.select("key", over("x_tiles").alias("x_tile"), tile("y_tiles").alias("y_tile"), F.lit(False).alias("outside"), "id", "comp", "sign", "is_main")
+    as_x = placed.filter("not is_main").select(
+        "key", tile("x_tiles").alias("x_tile"), over("y_tiles").alias("y_tile"), F.lit(True).alias("outside"), "id", "comp", "sign", "is_main"
     )
+    return as_y.unionByName(as_x)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,25 +286,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = nodes.select("id", "sign").mapInArrow(_keys, "key bigint, id bigint")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     members = written(keys.join(shared.select("key", "low"), "key"), fresh_path(spark, "members"))
-
-    stars = written(members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), fresh_path(spark, "stars"))
-    links = _confirmed(docs, nodes, stars)
+    signed = written(members.join(nodes.select("id", "sign"), "id").select("key", "low", "id", "sign"), fresh_path(spark, "signed"))
+
+    lows = signed.filter("id = low").select("key", F.col("sign").alias("sign_low"))
+    nearest = (
+        signed.filter("id <> low")
+        .join(lows, "key")
+        .select("id", "sign", "low", "sign_low")
+        .mapInArrow(_distances, "id bigint, low bigint, apart bigint")
+        .groupBy("id")
+        .agg(F.min_by("low", "apart").alias("low"))
+    )
+    nearest = written(nearest, fresh_path(spark, "nearest"))
+    # A popular low is confirmed in several groups; each gets its set once.
+    degrees = nearest.groupBy("low").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
+    dealt = nearest.join(degrees, "low").withColumn("group", F.xxhash64("low", F.pmod(F.xxhash64("id"), F.col("groups"))))
+    nobody = F.array().cast("array<bigint>")
+    wanted = dealt.select("group", "id", F.array("low").alias("partners")).unionByName(
+        dealt.select("group", F.col("low").alias("id")).distinct().withColumn("partners", nobody)
+    )
+    links = _confirmed(docs, wanted)
     grouped = components(links)
 
-    members = members.select("key", "id").join(grouped, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    buckets = written(_open_buckets(members), fresh_path(spark, "buckets"))
-    few = _pairs_across(members, buckets.filter(F.col("comps") <= MANY))
-    crowded = (
-        members.join(buckets.filter(F.col("comps") > MANY).select("key"), "key", "left_semi")
-        .join(nodes, "id")
-        .select("key", "id", "comp", "sign")
-        .mapInArrow(_second_keys, "key bigint, id bigint, comp bigint")
+    signed = signed.join(grouped, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sign")
+    signed = written(signed, fresh_path(spark, "signed"))
+    buckets = written(_open_buckets(signed), fresh_path(spark, "buckets"))
+    rest = (
+        _tiles(signed, buckets)
+        .repartition("key", "x_tile", "y_tile")
+        .sortWithinPartitions("key", "x_tile", "y_tile")
+        .select("key", "x_tile", "y_tile", "outside", "id", "comp", "sign", "is_main")
+        .mapInArrow(_tile_partners, "group bigint, id bigint, partners array<bigint>")
     )
-    crowded = written(crowded, fresh_path(spark, "crowded"))
-    rest = few.union(_pairs_across(crowded, _open_buckets(crowded))).distinct().join(stars, ["a", "b"], "left_anti")
     rest = written(rest, fresh_path(spark, "rest"))
     if not rest.isEmpty():
-        grouped = components(links.unionByName(_confirmed(docs, nodes, rest)))
+        grouped = components(links.unionByName(_confirmed(docs, rest)))
 
     named = classes.withColumnRenamed("doc_id", "id").join(grouped, "id", "left").select("class_key", F.coalesce("comp", "id").alias("comp"))
     named = written(named, fresh_path(spark, "named"))
@@ -249,3 +331,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns; rows without an id stay.
+
+    Only ids are moved to decide; the texts of documents that go are not needed.
+    """
+    judged = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_copy")).distinct()
+    judged = written(judged, fresh_path(docs.sparkSession, "copies"))
+    return docs.join(judged, docs["doc_id"].cast("bigint") == F.col("_copy"), "left_anti")

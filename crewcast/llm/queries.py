@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from crewcast.llm.decontamination import contaminated
 from crewcast.llm.near_dup import near_duplicates
 from crewcast.llm.packing import packed
 from crewcast.llm.substrings import substring_digests
@@ -24,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(_documents(spark, folder))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder))
 
@@ -38,9 +44,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_decontamination": op2_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_substring_dedup": op6_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
