@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from crewcast.llm.decontamination import contaminated
+from crewcast.llm.licences import TEMPLATES, licence_matches
 from crewcast.llm.near_dup import near_duplicates
 from crewcast.llm.packing import packed
+from crewcast.llm.quality_model import quality_scores
+from crewcast.llm.quality_rules import quality_rules
 from crewcast.llm.substrings import substring_digests
 from crewcast.llm.toxicity import toxicity_scores
 
@@ -30,6 +33,18 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules(_documents(spark, folder), _labels(spark, folder))
+
+
+def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_matches(_documents(spark, folder))
+
+
+def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(_documents(spark, folder), _labels(spark, folder))
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_documents(spark, folder))
 
@@ -45,10 +60,72 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_licence_scan": op4_licence_scan,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_model": op7_quality_model,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+def _values(rows) -> str:
+    quoted = lambda v: f"'{v.replace(chr(39), chr(39) * 2)}'" if isinstance(v, str) else str(v)
+    return ", ".join(f"({', '.join(quoted(v) for v in row)})" for row in rows)
+
+
+_BIGRAMS = """list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"""
+_NORMALISED = """string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"""
+
+SQL: dict[str, str] = {
+    "op2_decontamination": """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 3)) AS pos,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) >= 5
+), item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
+), item_shingles AS (
+  SELECT item_id, len(w) AS length,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM item_words WHERE len(w) >= 5
+), item_weights AS (
+  SELECT item_id, length, s, count(*) AS weight FROM item_shingles GROUP BY ALL
+), pairs AS (
+  SELECT DISTINCT doc_id, item_id, length, n FROM shingles JOIN item_weights USING (s)
+), windows AS (
+  SELECT doc_id, item_id, length, n, unnest(range(1, n - least(length, n) + 2)) AS start FROM pairs
+), window_weights AS (
+  SELECT doc_id, item_id, length, start, s, count(*) AS weight
+  FROM windows JOIN shingles USING (doc_id, n)
+  WHERE pos BETWEEN start AND start + least(length, n) - 5 GROUP BY ALL
+), compared AS (
+  SELECT doc_id, item_id, start, any_value(length) - 4 AS item_size, sum(ww.weight) AS size,
+         sum(least(ww.weight, coalesce(iw.weight, 0))) AS common
+  FROM window_weights ww LEFT JOIN item_weights iw USING (item_id, length, s) GROUP BY ALL
+)
+SELECT doc_id, item_id, max(common::DOUBLE / (size + item_size - common)::DOUBLE) AS similarity
+FROM compared WHERE 100 * common >= 75 * (size + item_size - common) GROUP BY ALL""",
+    "op4_licence_scan": f"""
+WITH templates(template, licence, text) AS (VALUES {_values((n, *t) for n, t in enumerate(TEMPLATES))}),
+template_words AS (SELECT template, licence, {_NORMALISED.format(text="text")} AS words FROM templates),
+known AS (SELECT template, licence, {_BIGRAMS} AS b FROM template_words),
+texts AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, false AS whole_text FROM documents
+  UNION ALL SELECT doc_id, text, true FROM documents
+), numbered AS (
+  SELECT row_number() OVER () AS unit, doc_id, whole_text, {_NORMALISED.format(text="unit")} AS words FROM texts
+), units AS (SELECT unit, doc_id, whole_text, {_BIGRAMS} AS b FROM numbered),
+unit_bigrams AS (SELECT unit, doc_id, whole_text, len(b) AS n, unnest(b) AS h FROM units),
+template_bigrams AS (SELECT template, licence, len(b) AS size, unnest(b) AS h FROM known),
+matches AS (
+  SELECT doc_id, unit, whole_text, template, licence, round(2.0::DOUBLE * count(*) / (n + size), 6) AS dice
+  FROM unit_bigrams JOIN template_bigrams USING (h) GROUP BY doc_id, unit, whole_text, template, licence, n, size
+)
+SELECT doc_id, licence, max(dice) AS dice, arg_max(whole_text, dice + whole_text::INT * 1e-9) AS whole_text
+FROM (
+  SELECT * FROM matches WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, template) = 1
+) GROUP BY doc_id, licence""",
+}
