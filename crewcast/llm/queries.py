@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crewcast.llm.decontamination import contaminated
+from crewcast.llm.html_text import html_texts
 from crewcast.llm.licences import TEMPLATES, licence_matches
 from crewcast.llm.near_dup import near_duplicates
 from crewcast.llm.packing import packed
+from crewcast.llm.preferences import neighbour_pairs, preferences
 from crewcast.llm.quality_model import quality_scores
 from crewcast.llm.quality_rules import quality_rules
 from crewcast.llm.substrings import substring_digests
@@ -53,6 +56,20 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digests(_documents(spark, folder))
 
 
+def op8_preference_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All neighbouring conversations; spans as text, "first-end" with commas."""
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    result = preferences(neighbour_pairs(conversations), conversations)
+    for side in ("chosen_spans", "rejected_spans"):
+        shown = F.transform(side, lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string")))
+        result = result.withColumn(side, F.array_join(shown, ","))
+    return result
+
+
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_texts(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(_documents(spark, folder), _labels(spark, folder))
 
@@ -65,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_model": op7_quality_model,
+    "op8_preference_formatting": op8_preference_formatting,
+    "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
@@ -128,4 +147,44 @@ SELECT doc_id, licence, max(dice) AS dice, arg_max(whole_text, dice + whole_text
 FROM (
   SELECT * FROM matches WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY unit ORDER BY dice DESC, template) = 1
 ) GROUP BY doc_id, licence""",
+    "op8_preference_formatting": """
+WITH rows AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+         '<|' || role || '|>' || chr(10) AS header
+  FROM rows
+), pairs AS (
+  SELECT min(conv_id) AS chosen_id, max(conv_id) AS rejected_id
+  FROM rows GROUP BY conv_id >> 1 HAVING min(conv_id) < max(conv_id)
+), shared AS (
+  SELECT p.*, coalesce((
+    SELECT min(coalesce(c.n, r.n)) - 1
+    FROM (SELECT * FROM turns WHERE conv_id = p.chosen_id) c
+    FULL JOIN (SELECT * FROM turns WHERE conv_id = p.rejected_id) r ON c.n = r.n
+    WHERE (c.role, c.text) IS DISTINCT FROM (r.role, r.text)
+  ), (SELECT max(n) FROM turns WHERE conv_id = p.chosen_id)) AS k
+  FROM pairs p
+), placed AS (
+  SELECT chosen_id, rejected_id, k, conv_id = chosen_id AS is_chosen, n, role,
+         header || text || '<|end|>' || chr(10) AS piece, length(header) AS head,
+         sum(length(header || text) + 8) OVER (
+           PARTITION BY chosen_id, conv_id ORDER BY n) - length(header || text) - 8 AS before
+  FROM shared JOIN turns ON conv_id IN (chosen_id, rejected_id) WHERE n > k
+), sides AS (
+  SELECT chosen_id, is_chosen, string_agg(piece, '' ORDER BY n) AS text,
+         coalesce(string_agg((before + head)::BIGINT || '-' || (before + length(piece))::BIGINT, ',' ORDER BY n)
+           FILTER (role = 'assistant'), '') AS spans
+  FROM placed GROUP BY ALL
+), prompts AS (
+  SELECT chosen_id, string_agg(header || text || '<|end|>' || chr(10), '' ORDER BY n) AS prompt
+  FROM shared JOIN turns ON conv_id = chosen_id WHERE n <= k GROUP BY ALL
+)
+SELECT s.chosen_id, s.rejected_id, s.k::INT AS shared_turns, coalesce(p.prompt, '') AS prompt,
+       coalesce(c.text, '') AS chosen, coalesce(r.text, '') AS rejected,
+       coalesce(c.spans, '') AS chosen_spans, coalesce(r.spans, '') AS rejected_spans
+FROM shared s LEFT JOIN prompts p USING (chosen_id)
+LEFT JOIN sides c ON c.chosen_id = s.chosen_id AND c.is_chosen
+LEFT JOIN sides r ON r.chosen_id = s.chosen_id AND NOT r.is_chosen""",
 }
