@@ -5,8 +5,8 @@ Large lengths are rounded up to size classes. The linear program over patterns (
 classes that fit a sequence) covers each class's count with the fewest sequences. Multiplicative
 weights solve it: each round a knapsack dynamic program finds the pattern of largest weight, the
 pattern gets as many sequences as cover EPSILON of its scarcest class, and classes lose weight as
-they are covered. The solution is rounded down; its sequences get exact lengths, and what remains
-goes by best fit, longest first, into the room left in all sequences, then into new ones. All of
+they are covered. The solution is rounded down; its sequences get exact lengths, those that are nearly
+full stay, and what remains goes by best fit, longest first, into the room left in all sequences, then into new ones. All of
 this works on counts per length, so its cost does not depend on the number of documents.
 """
 
@@ -32,6 +32,8 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_OF_DOCUMENT = 1
 #: Width of a size class, and the length up to which pieces only fill room that is left.
 UNIT, SMALL = 8, 1024
+#: Share of a sequence that a rounded pattern may leave empty.
+MOST_SLACK = 0.003
 #: Share of a pattern's scarcest class that one round covers, and the most rounds.
 EPSILON, MOST_ROUNDS = 0.1, 6000
 #: Pieces of one length that are numbered together.
@@ -262,7 +264,13 @@ def plan_groups(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Gro
                 whole.append((pattern, count))
                 for n, times in pattern:
                     remaining[n] -= times * count
-        groups = _exact_groups(whole, runs)
+        # What rounding left far from full is better placed anew, by exact lengths.
+        for group in _exact_groups(whole, runs):
+            if capacity - sum(n * t for n, t in group.parts) <= MOST_SLACK * capacity:
+                groups.append(group)
+                continue
+            for length, times in group.parts:
+                rest[length] = rest.get(length, 0) + times * group.count
         for some in runs.values():
             for length, count in some:
                 if count:
