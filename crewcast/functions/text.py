@@ -69,23 +69,38 @@ def null_if_blank(col: Column) -> Column:
     return F.nullif(strip(col.cast("string")), F.lit(""))
 
 
-def first_non_blank(*cols: Column) -> Column:
-    return F.coalesce(*[null_if_blank(c) for c in cols])
+@lru_cache(maxsize=1)
+def _casefolds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that case folding changes: into one character, and into several."""
+    folds = {chr(cp): chr(cp).casefold() for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000}
+    changed = {ch: fold for ch, fold in folds.items() if fold != ch}
+    return (
+        {ch: fold for ch, fold in changed.items() if len(fold) == 1},
+        {ch: fold for ch, fold in changed.items() if len(fold) > 1},
+    )
+
+
+def _replace_characters(text: Column, single: dict[str, str], several: dict[str, str]) -> Column:
+    """Each character by its replacement; the longer ones only in texts that hold such a character."""
+    expansions = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    expanded = F.array_join(
+        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch)),
+        "",
+    )
+    has_several = text.rlike("[" + "".join(several) + "]")
+    return F.translate(F.when(has_several, expanded).otherwise(text), "".join(single), "".join(single.values()))
 
 
 def casefold(col: Column) -> Column:
-    """Caseless comparison form: lower case plus the letters lower() leaves alone."""
-    return F.translate(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    """Caseless comparison form: full Unicode case folding, character by character."""
+    ascii_only = col.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(ascii_only, F.lower(col)).otherwise(_replace_characters(col, *_casefolds()))
 
 
 def simple_name_key(col: Column) -> Column:
     return F.lower(strip(col.cast("string")))
 
 
-def folded_name_key(col: Column) -> Column:
-    return casefold(collapse_spaces(col))
-
-
 def known_text(col: Column) -> Column:
     """Cleaned text, null when nothing is left."""
     return F.nullif(clean_text(col), F.lit(""))
@@ -126,17 +141,8 @@ def name_key(col: Column) -> Column:
     translate() covers it; the few characters that expand to several letters (ligatures,
     fractions) go through a map only in the rows that contain one.
     """
-    single, several = _ascii_residues()
     text = F.coalesce(col.cast("string"), F.lit(""))
-    expansions = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    expanded = F.array_join(
-        F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch)),
-        "",
-    )
-    has_several = text.rlike("[" + "".join(several) + "]")
-    folded = F.translate(
-        F.when(has_several, expanded).otherwise(text), "".join(single), "".join(single.values())
-    )
+    folded = _replace_characters(text, *_ascii_residues())
     ascii_only = text.rlike(r"\A[\x00-\x7f]*\z")
     return F.regexp_replace(
         F.lower(F.when(ascii_only, text).otherwise(folded)), "[^a-z0-9]+", ""
@@ -181,11 +187,18 @@ def skill_list(col: Column) -> Column:
 
 
 def truthy(col: Column) -> Column:
-    return F.lower(strip(col.cast("string"))).isin("1", "true", "yes", "active")
+    """Whether a text or number says yes: any number but 0, or one of the words for it."""
+    text = F.lower(strip(col.cast("string")))
+    number = text.try_cast("double")
+    return F.when(number.isNotNull(), number != 0).otherwise(text.isin("true", "yes", "active"))
 
 
 def optional_int(col: Column) -> Column:
-    return null_if_blank(col).try_cast("int")
+    """An integer or null for a blank text; any other text fails the query."""
+    text = null_if_blank(col)
+    number = text.try_cast("int")
+    bad = F.concat(F.lit("not an integer: "), text)
+    return F.when(text.isNotNull() & number.isNull(), F.raise_error(bad).cast("int")).otherwise(number)
 
 
 def document_id(consultant: Column, section: Column, chunk_number: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewcast.operators.numbering import ROWS_PER_RANGE, with_order_ranges
+from crewcast.operators.numbering import ROWS_PER_RANGE, join_totals, with_order_ranges
 
 
 def check_chunking(chunk_size: int, overlap: int) -> None:
@@ -58,16 +58,16 @@ def assemble_chunks(
     """Chunks of prefix + pieces put together in order, per key.
 
     The whole text is never built. Each piece gets its offset in the text (a running sum in two
-    levels, inside ranges of the order column and over the ranges), is copied to the chunks it
+    levels, inside ranges of a large key's order and over these ranges), is copied to the chunks it
     touches, and each chunk gathers only its own few thousand characters. A key with very many
-    pieces is therefore spread over many tasks. `order` is a bigint, unique per key (equal values
-    are put in the order of their text). `prefix` is an expression over the keys.
+    pieces is therefore spread over many tasks. `order` is a bigint, unique per key; equal values
+    are put in the order of their text, null ones first. `prefix` is an expression over the keys.
 
     The pieces are read several times: give a stored table.
     """
     check_chunking(chunk_size, overlap)
     step = chunk_size - overlap
-    sized = with_order_ranges(pieces, order, rows_per_range=rows_per_range).select(
+    sized = with_order_ranges(pieces, keys, order, ties=[piece], rows_per_range=rows_per_range).select(
         *keys,
         order,
         "_range",
@@ -92,7 +92,7 @@ def assemble_chunks(
     )
     prefix_length = F.length(prefix).cast("bigint")
     before = prefix_length + F.col("_before") + F.sum("_length").over(in_range)
-    body = sized.join(ranges, [*keys, "_range"]).select(
+    body = join_totals(sized, ranges, [*keys, "_range"], ["_before"]).select(
         *keys, "_piece", "_length", (before - F.col("_length")).alias("_start")
     )
     head = ranges.filter(F.col("_nth") == 1).select(

@@ -36,10 +36,10 @@ def current_rows(df: DataFrame) -> DataFrame:
 
 
 def known_rows(df: DataFrame, level: str = "Knowledge_Level") -> DataFrame:
-    """Current rows whose knowledge level says that something is known."""
+    """Current rows whose knowledge level says that something is known; the column is required."""
     rows = current_rows(df)
     if level not in rows.columns:
-        return rows
+        raise ValueError(f"skill table without the column {level}")
     return rows.filter(
         F.col(level).isNotNull() & ~F.lower(strip(F.col(level))).isin(*NO_KNOWLEDGE)
     )
@@ -56,7 +56,9 @@ def skill_matches(
     terms = tuple(t for t in (str(term).strip().lower() for term in search_terms) if t)
     if search_terms:
         rows = rows.filter(contains_any(F.lower(F.coalesce("TechnologyName", F.lit(""))), terms))
-    if exclude_no_knowledge and "Knowledge_Level" in rows.columns:
+    if exclude_no_knowledge:
+        if "Knowledge_Level" not in rows.columns:
+            raise ValueError("skill table without the column Knowledge_Level")
         rows = rows.filter(F.lower(strip(F.col("Knowledge_Level"))) != "no knowledge")
     if current_only and "Status" in rows.columns:
         rows = rows.filter(F.lower(strip(F.col("Status"))) == "current")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from crewcast.functions.numbers import round_binary
 from crewcast.functions.text import simple_name_key, strip, whitespace_words
 from crewcast.operators.filters import equality_filter
-from crewcast.operators.spreading import spread_small
+from crewcast.operators.spreading import spread
 
 try:  # finds all words in one pass over a text; without it each word is searched by itself
     import ahocorasick
@@ -191,7 +191,7 @@ def _scores_in_place(texts: DataFrame, terms: DataFrame, top_k: int | None) -> D
                 yield from best.frames()
         yield from best.frames()
 
-    return spread_small(texts).mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
+    return spread(texts).mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
 
 
 def _grams(text: Column) -> Column:
@@ -301,7 +301,7 @@ def _neighbours_in_place(
             _add_similarities(best, units, batch)
         yield from best.frames()
 
-    return spread_small(vectors).mapInPandas(nearest, schema)
+    return spread(vectors).mapInPandas(nearest, schema)
 
 
 def _neighbours_by_blocks(

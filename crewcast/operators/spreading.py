@@ -1,23 +1,14 @@
-"""Parallelism for heavy per-row work on small inputs."""
+"""Parallelism for heavy per-row work."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SPLIT_BYTES = 128 << 20
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out evenly, without regard to their size or place, over twice the cores.
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of everything the plan reads, after column pruning; starts no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size()))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Shuffles rows over all cores when the input is too small to fill them by itself.
-
-    An input above one ordinary split per core is left alone: it already has enough tasks, and
-    moving it would cost more than it brings.
+    For work that costs far more per row than moving the row, where a few large input splits
+    would keep most cores idle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if input_bytes(df) <= cores * SPLIT_BYTES else df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)

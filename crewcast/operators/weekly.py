@@ -11,29 +11,38 @@ from crewcast.functions.numbers import share_of_week
 def assignment_owners(assignments: DataFrame) -> DataFrame:
     """ActivityAssignment_Id → Resource_Id; an assignment with two owners fails the query.
 
-    Grouped by the join key itself, so the join that follows needs no further shuffle of it.
+    Distinct pairs first, so what is gathered per assignment is its one owner.
     """
     shared = F.concat(F.lit("assignment with more than one person: "), "ActivityAssignment_Id")
     return (
-        assignments.groupBy("ActivityAssignment_Id")
-        .agg(F.min("Resource_Id").alias("_low"), F.max("Resource_Id").alias("_high"))
+        assignments.select("ActivityAssignment_Id", "Resource_Id")
+        .distinct()
+        .groupBy("ActivityAssignment_Id")
+        .agg(F.collect_set("Resource_Id").alias("_owners"))
         .select(
             "ActivityAssignment_Id",
-            F.when(F.col("_low") == F.col("_high"), F.col("_low"))
-            .otherwise(F.raise_error(shared))
+            F.when(F.size("_owners") > 1, F.raise_error(shared))
+            .otherwise(F.get("_owners", F.lit(0)))
             .alias("Resource_Id"),
         )
     )
 
 
+def assignment_weekly_time(time_entries: DataFrame) -> DataFrame:
+    """Hours and days per assignment and week, combined before the shuffle."""
+    return time_entries.groupBy("ActivityAssignment_Id", "WeekStart").agg(
+        F.sum("Logged_Hours").alias("Logged_Hours"), F.sum("Consumed_Days").alias("Consumed_Days")
+    )
+
+
 def resource_weekly_time(time_entries: DataFrame, assignments: DataFrame) -> DataFrame:
     """Hours, days and capacity per person and week.
 
-    The entries are shuffled once, by assignment; adaptive execution splits an assignment that
-    holds a large share of them. The sums per person and week are then combined map-side.
+    Entries are summed per assignment and week before they meet the owners, so an assignment with
+    any number of entries brings one row per week to the join.
     """
     return (
-        time_entries.select("ActivityAssignment_Id", "WeekStart", "Logged_Hours", "Consumed_Days")
+        assignment_weekly_time(time_entries)
         .join(assignment_owners(assignments), "ActivityAssignment_Id")
         .groupBy("Resource_Id", "WeekStart")
         .agg(

@@ -47,11 +47,14 @@ def list_conversations(
     return owned.orderBy(F.col("updated_at").desc(), "conversation_id").limit(max(limit, 0))
 
 
-def list_messages(numbered: DataFrame, conversation_id, user_id: str) -> DataFrame:
-    """One conversation's messages in order, for its owner only."""
-    return numbered.filter(
-        (F.col("conversation_id") == conversation_id) & (F.col("user_id") == user_id)
-    ).orderBy("sequence_number")
+def list_messages(messages: DataFrame, conversation_id, user_id: str) -> DataFrame:
+    """One conversation's messages in order, for its owner only.
+
+    Only this conversation is read and numbered; numbers the messages already have are kept.
+    """
+    own = messages.filter(F.col("conversation_id") == conversation_id)
+    numbered = own if "sequence_number" in own.columns else number_messages(own)
+    return numbered.filter(F.col("user_id") == user_id).orderBy("sequence_number")
 
 
 def recent_conversations(

@@ -61,7 +61,10 @@ def _people(employees: DataFrame) -> DataFrame:
 
 
 def overview_lines(people: DataFrame) -> DataFrame:
-    years = fixed_text(F.col("Years of service").try_cast("double"), 1)
+    # A value that is no number or date is shown as it is written.
+    years = F.coalesce(fixed_text(F.col("Years of service").try_cast("double"), 1), clean_text(F.col("Years of service")))
+    started = F.col("Employment start date")
+    started = F.coalesce(iso_text(started.try_cast("date")), clean_text(started))
     fields = [
         labelled("Employee name", F.col("Employee Name")),
         labelled("Job title", F.col("Job Title")),
@@ -72,7 +75,7 @@ def overview_lines(people: DataFrame) -> DataFrame:
         labelled("Working model", F.col("Working model")),
         labelled("Working location", F.col("Working location")),
         labelled("Years of service", years),
-        labelled("Employment start date", iso_text(F.col("Employment start date").try_cast("date"))),
+        labelled("Employment start date", started),
     ]
     return people.select("_person", F.lit(0).cast("bigint").alias("_row_id"), F.concat_ws("\n", *fields).alias("line"))
 
@@ -92,8 +95,13 @@ def _lines(df: DataFrame, name: str, line: Column) -> DataFrame:
 
 
 def first_of_each(lines: DataFrame, value: str = "line", order: str = "_row_id") -> DataFrame:
-    """Distinct values per person ignoring case; the first spelling and position stay."""
-    return lines.groupBy("_person", casefold(F.col(value)).alias("_folded")).agg(
+    """Distinct values per person ignoring case; the first spelling and position stay.
+
+    Equal spellings are reduced first, by their smallest position alone (a hash aggregate where
+    the order is a number), so far fewer rows are folded and sorted.
+    """
+    spelled = lines.groupBy("_person", value).agg(F.min(order).alias(order))
+    return spelled.groupBy("_person", casefold(F.col(value)).alias("_folded")).agg(
         F.min_by(value, order).alias(value), F.min(order).alias(order)
     ).drop("_folded")
 
@@ -328,7 +336,7 @@ def index_rows(documents: DataFrame, indexed_at: Column, vectors: DataFrame | No
         optional_int(value("row_number")).alias("row_number"),
         value("page_number", "int").cast("int").alias("page_number"),
         null_if_blank(F.coalesce(value("chunk_id"), F.col("id"))).alias("chunk_id"),
-        (truthy(value("is_active")) if "is_active" in have else F.lit(True)).alias("is_active"),
+        (F.coalesce(truthy(value("is_active")), F.lit(True)) if "is_active" in have else F.lit(True)).alias("is_active"),
         F.coalesce(value("last_modified", "timestamp").cast("timestamp"), indexed_at).alias("last_modified"),
     )
     if vectors is None:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewcast.operators.spreading import spread_small
+from crewcast.operators.spreading import spread
 from crewcast.sources.master import require_columns
 from crewcast.sources.star_schema import StarSchema
 
@@ -52,8 +52,8 @@ def derived_profiles(star: StarSchema) -> ProfileTables:
     customers = star.table("customer").join(
         star.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    orders = spread_small(star.table("orders")).withColumn("employee", _person(F.col("o_custkey")))
-    events = spread_small(star.table("events")).withColumn("employee", _person(F.col("user_id")))
+    orders = spread(star.table("orders")).withColumn("employee", _person(F.col("o_custkey")))
+    events = spread(star.table("events")).withColumn("employee", _person(F.col("user_id")))
     year = F.year("o_orderdate").cast("string")
 
     def employee_rows(df: DataFrame, row_id, title) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from crewcast.operators.quality import assert_unique
 from crewcast.operators.reshape import export_columns
+from crewcast.sources.shared_storage import fresh_path, written
 
 # The tables a report store knows.
 REPORT_NAMES = (
@@ -44,14 +47,34 @@ def export_csv(report: DataFrame, path: str) -> None:
 
 
 def index_documents(rows: DataFrame, path: str) -> int:
-    """Writes search index rows, keyed by id, and returns how many there are.
+    """Merges search index rows into the index at `path` by id; returns how many it then has.
 
-    Rows that an index would refuse (no id or no content) fail the whole run before anything
-    is written.
+    Rows that an index would refuse (no id or no content) and repeated ids fail the whole run
+    before anything is written. A new row replaces the indexed one of its id; all others stay.
+    The rows are computed once, into an intermediate; the merged index is written apart before it
+    replaces the stored one.
     """
+    spark = rows.sparkSession
+    rows = written(rows, fresh_path(spark, "index-rows"))
     refused = rows.filter("id IS NULL OR trim(id) = '' OR content IS NULL OR trim(content) = ''")
     examples = refused.select("id").limit(5).collect()
     if examples:
         raise RuntimeError(f"Some documents could not be indexed: {[r[0] for r in examples]}")
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path).count()
+    assert_unique(rows, ["id"], "index rows")
+    merged = rows
+    if _is_table(spark, path):
+        stored = spark.read.parquet(path)
+        kept = stored.join(rows.select("id"), "id", "left_anti")
+        merged = written(kept.unionByName(rows, allowMissingColumns=True), fresh_path(spark, "index"))
+    merged.write.mode("overwrite").parquet(path)
+    return merged.count()
+
+
+def _is_table(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True

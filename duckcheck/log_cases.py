@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crewcast.operators.numbering import number_rows
 from crewcast.operators.quality import message_violations
 from crewcast.plans import logs
 from crewcast.sources.audit_log import parse_audit_lines, recent_events
@@ -81,11 +82,32 @@ def _stream_hours(s: StarSchema) -> DataFrame:
     return _streamed(s, feeds.weekly_hours(entries), "weekly-hours")
 
 
+def _split_messages(s: StarSchema) -> DataFrame:
+    """A conversation with a third of all messages, null conversations and turns, ties; split from 20 rows on."""
+    conversation = F.col("conversation_id")
+    messages = s.messages().select(
+        F.when(conversation % 3 == 0, F.lit(0).cast("bigint")).when(conversation % 11 == 1, None).otherwise(conversation).alias("conversation_id"),
+        F.when(F.col("turn") % 4 != 3, F.col("turn")).alias("turn"),
+        "content",
+        conversation.alias("started"),
+    )
+    return number_rows(messages, ["conversation_id"], "turn", "sequence_number", ties=["content", "started"], rows_per_range=20)
+
+
 CASES: dict[str, Case] = {
     "numbered_messages": case(
         lambda s: logs.number_messages(s.messages()),
         "SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS sequence_number FROM messages",
     ),
+    "numbered_messages_split": case(
+        _split_messages,
+        """
+        SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn NULLS FIRST, content, started) AS sequence_number
+        FROM (
+          SELECT CASE WHEN conversation_id % 3 = 0 THEN 0 WHEN conversation_id % 11 = 1 THEN NULL ELSE conversation_id END AS conversation_id,
+                 CASE WHEN turn % 4 = 3 THEN NULL ELSE turn END AS turn, content, conversation_id AS started
+          FROM messages)""",
+    ),
     "conversation_summary": case(_conversations, "SELECT * FROM conversation_rows"),
     "conversation_list": case(
         lambda s: logs.list_conversations(_conversations(s), "owner3", limit=5),
@@ -104,7 +126,7 @@ CASES: dict[str, Case] = {
         WHERE position <= 50""",
     ),
     "message_list": case(
-        lambda s: logs.list_messages(logs.number_messages(s.messages()), 3, "owner3"),
+        lambda s: logs.list_messages(s.messages(), 3, "owner3"),
         """
         SELECT *, row_number() OVER (ORDER BY turn) AS sequence_number FROM messages
         WHERE conversation_id = 3 AND user_id = 'owner3'""",

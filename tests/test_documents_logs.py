@@ -124,6 +124,22 @@ def test_numbering_over_ranges(spark):
     assert numbered.filter("n = if(k = 'hot', round(cbrt(o)) + 1, round(cbrt(o)) - 899)").count() == 1000
 
 
+def test_numbering_keeps_nulls_at_every_size(spark):
+    rows = [(k, o, f"{k}{o}{n}") for k, count in (("hot", 60), (None, 30), ("cold", 2)) for n in range(count) for o in (n % 20 if n % 7 else None,)]
+    df = spark.createDataFrame(rows, "k string, o bigint, t string")
+    results = [sorted(map(str, number_rows(df, ["k"], "o", "n", ties=["t"], rows_per_range=most).collect())) for most in (5, 40, 1000)]
+    assert len(results[0]) == len(rows) and results[0] == results[1] == results[2]
+    numbers = sorted(r.n for r in number_rows(df, ["k"], "o", "n", rows_per_range=5).filter("k IS NULL").collect())
+    assert numbers == list(range(1, 31))
+
+
+def test_chunks_keep_pieces_without_order(spark):
+    df = spark.createDataFrame([("a", None, "null one "), ("a", 2, "three"), ("a", 1, "two "), (None, 1, "x")], "k string, o bigint, p string")
+    for bucket in (1, 100):
+        found = assemble_chunks(df, ["k"], "o", "p", F.lit(""), chunk_size=50, overlap=5, rows_per_range=bucket)
+        assert {r.k: r.chunk for r in found.collect()} == {"a": "null one two three", None: "x"}
+
+
 MESSAGES = [
     (1, "u1", 0, "system", "be nice", None, 0), (1, "u1", 1, "user", "  Who is\non bench?  ", None, 1),
     (1, "u1", 2, "assistant", "Ann", "bench", 2), (1, "u1", 3, "assistant", "?", None, 3),

@@ -85,7 +85,11 @@ def test_name_key(spark):
 
 
 def test_casefold(spark):
-    assert values(spark, ["Straße", "ΟΔΟΣ"], "string", tx.casefold) == ["strasse", "οδοσ"]
+    assert values(spark, ["Straße", "ΟΔΟΣ", None], "string", tx.casefold) == ["strasse", "οδοσ", None]
+    # Every character that case folding or lower case changes, and its neighbours in the table.
+    chars = [chr(c) for c in range(0x20, 0x1F000) if not 0xD800 <= c < 0xE000 and (chr(c).casefold() != chr(c) or chr(c).lower() != chr(c))]
+    texts = ["".join(chars[n : n + 50]) for n in range(0, len(chars), 50)]
+    assert values(spark, texts, "string", tx.casefold) == [t.casefold() for t in texts]
 
 
 def test_titles(spark):
@@ -105,7 +109,10 @@ def test_skill_terms(spark):
 def test_small_conversions(spark):
     assert values(spark, ["a, ,b ", None], "string", tx.skill_list) == [["a", "b"], []]
     assert values(spark, [" Yes", "0", "ACTIVE"], "string", tx.truthy) == [True, False, True]
+    assert values(spark, ["2", "0.0", "no", None], "string", tx.truthy) == [True, False, False, None]
     assert values(spark, ["7", " ", None], "string", tx.optional_int) == [7, None, None]
+    with pytest.raises(Exception, match="not an integer: x"):
+        values(spark, ["x"], "string", tx.optional_int)
 
 
 @pytest.mark.parametrize("updated, label", [("2026-07-20", "Today"), ("2026-07-19", "Yesterday"), ("2026-07-13", "Previous 7 days"), ("2026-07-25", "Previous 7 days"), ("2026-07-12", "Older")])

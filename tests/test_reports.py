@@ -145,3 +145,9 @@ def test_index_sink_refuses_bad_rows(spark, tmp_path):
     with pytest.raises(RuntimeError, match="could not be indexed"):
         index_documents(rows, str(tmp_path / "index"))
     assert index_documents(rows.filter(F.col("id") == "1"), str(tmp_path / "index")) == 1
+    again = spark.createDataFrame([("1", "new"), ("3", "three")], "id string, content string")
+    assert index_documents(again, str(tmp_path / "index")) == 2
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    assert sorted(map(tuple, stored.collect())) == [("1", "new"), ("3", "three")]
+    with pytest.raises(ValueError, match="repeated keys"):
+        index_documents(again.union(again), str(tmp_path / "index"))
