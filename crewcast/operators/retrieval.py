@@ -1,18 +1,21 @@
 """Batch retrieval: a table of queries against a table of documents.
 
-Queries are usually few and documents many. Up to a checked size the queries travel to the
-documents, every document is scored where it lies, and only the best rows per task are shuffled.
-Larger query tables take a shuffled route with the same result.
+Documents are never moved or copied to meet queries. The queries pass the driver in blocks of
+bounded rows and bytes; each block travels to all tasks, every document is scored where it lies,
+and only the best rows per task and query are shuffled. With more than one block each block's
+result is written to shared storage before the next one starts, so neither the driver nor a task
+ever holds more than one block. A table of any size takes the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from itertools import chain
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +23,7 @@ from crewcast.functions.numbers import round_binary
 from crewcast.functions.text import simple_name_key, strip, whitespace_words
 from crewcast.operators.filters import equality_filter
 from crewcast.operators.spreading import spread
+from crewcast.sources.shared_storage import fresh_path
 
 try:  # finds all words in one pass over a text; without it each word is searched by itself
     import ahocorasick
@@ -27,15 +31,10 @@ except ImportError:
     ahocorasick = None
 
 DEFAULT_TOP_K = 30
-GRAM = 3
 RRF_CONSTANT = 60
 
-# Up to these sizes the queries are sent to the documents.
-MAX_INLINE_QUERIES = 2_000
-MAX_INLINE_TERMS = 50_000  # words of all queries; the word × query table stays below 100 MB
-# Beyond them, vectors are paired block by block.
-QUERY_BLOCK_ROWS = 2_000
-DOCUMENT_BLOCK_ROWS = 20_000
+# A block of queries: rows, and bytes of their words or vectors, at most (one query at least).
+BLOCK_ROWS, BLOCK_BYTES = 2_000, 8 << 20
 SCORES_AT_ONCE = 4_000_000
 
 
@@ -126,9 +125,12 @@ class _Vocabulary:
     def __init__(self, term_lists: list[list[str]]):
         self.terms = sorted({t for words in term_lists for t in words})
         position = {t: n for n, t in enumerate(self.terms)}
-        self.holders = np.zeros((len(self.terms), len(term_lists)), dtype=np.uint8)
+        held: list[list[int]] = [[] for _ in self.terms]
         for n, words in enumerate(term_lists):
-            self.holders[[position[t] for t in words], n] = 1
+            for t in set(words):
+                held[position[t]].append(n)
+        self.holders = [np.array(queries, dtype=np.int64) for queries in held]
+        self.queries = len(term_lists)
         self.automaton = None
         if ahocorasick is not None and self.terms:
             self.automaton = ahocorasick.Automaton()
@@ -141,7 +143,10 @@ class _Vocabulary:
             found = list({n for _, n in self.automaton.iter(text)})
         else:
             found = [n for n, t in enumerate(self.terms) if t in text]
-        return self.holders[found].sum(axis=0, dtype=np.int32)
+        if not found:
+            return np.zeros(self.queries, dtype=np.int32)
+        holders = np.concatenate([self.holders[n] for n in found])
+        return np.bincount(holders, minlength=self.queries).astype(np.int32)
 
 
 def _score_schema(queries: DataFrame, documents: DataFrame, score: T.DataType) -> T.StructType:
@@ -154,32 +159,42 @@ def _score_schema(queries: DataFrame, documents: DataFrame, score: T.DataType) -
     )
 
 
-def keyword_scores(
-    documents: DataFrame,
-    queries: DataFrame,
-    top_k: int | None = None,
-    max_inline_terms: int = MAX_INLINE_TERMS,
-) -> DataFrame:
-    """(query_id, id, score): number of distinct query words found anywhere in the document.
-
-    With top_k a superset of the best top_k per query is enough and may be returned.
-    """
-    terms = query_terms(queries)
-    size = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("t")).first()
-    texts = documents.select("id", haystack().alias("text"))
-    if size["n"] <= MAX_INLINE_QUERIES and size["t"] <= max_inline_terms:
-        return _scores_in_place(texts, terms, top_k)
-    return _scores_by_grams(texts, terms)
-
-
-def _scores_in_place(texts: DataFrame, terms: DataFrame, top_k: int | None) -> DataFrame:
-    """The (size-checked) queries go to every task; a task returns its top_k per query.
+def _blocks(queries: DataFrame, bytes_of: Callable[[Row], int], most_rows: int) -> Iterator[list[Row]]:
+    """The rows of queries in blocks of bounded size, fetched one input partition at a time."""
+    block: list[Row] = []
+    size = 0
+    for row in queries.toLocalIterator():
+        more = bytes_of(row)
+        if block and (len(block) >= most_rows or size + more > BLOCK_BYTES):
+            yield block
+            block, size = [], 0
+        block.append(row)
+        size += more
+    if block:
+        yield block
+
+
+def _over_blocks(blocks: Iterator[list[Row]], answer: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The answers of all blocks. An answer is complete for its queries, so they only add up."""
+    first = next(blocks, [])
+    second = next(blocks, None)
+    one = answer(first)
+    if second is None:
+        return one
+    path = fresh_path(one.sparkSession, "answers")
+    one.write.parquet(path)
+    for block in chain([second], blocks):
+        answer(block).write.mode("append").parquet(path)
+    return one.sparkSession.read.schema(one.schema).parquet(path)
+
+
+def _score_words(texts: DataFrame, rows: list[Row], top_k: int | None, schema: T.StructType) -> DataFrame:
+    """A block of queries goes to every task; a task returns its top_k per query.
 
     Counting inside the task keeps the (query, document) pairs off the network: common words
     make almost every document match almost every query.
     """
-    rows = terms.toPandas()
-    query_ids, term_lists = rows["query_id"].tolist(), [list(t) for t in rows["terms"]]
+    query_ids, term_lists = [r["query_id"] for r in rows], [list(r["terms"] or ()) for r in rows]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, best = _Vocabulary(term_lists), _Best(query_ids, top_k, minimum=1)
@@ -191,43 +206,7 @@ def _scores_in_place(texts: DataFrame, terms: DataFrame, top_k: int | None) -> D
                 yield from best.frames()
         yield from best.frames()
 
-    return spread(texts).mapInPandas(score, _score_schema(terms, texts, T.IntegerType()))
-
-
-def _grams(text: Column) -> Column:
-    """Distinct character runs of length 1 to GRAM."""
-
-    def of(chars: Column) -> Column:
-        runs = [chars]
-        for n in range(1, GRAM):
-            runs.append(
-                F.zip_with(runs[-1], F.slice(chars, F.lit(n + 1), F.size(chars)), lambda a, b: F.concat(a, b))
-            )
-        return F.array_distinct(F.filter(F.flatten(F.array(*runs)), lambda g: g.isNotNull()))
-
-    return F.transform(F.array(F.split(text, "")), of)[0]
-
-
-def _scores_by_grams(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Words meet documents on their first characters; the candidates are then checked.
-
-    The pairs of the first join carry only ids; texts come back for the check, one copy each.
-    """
-    postings = terms.select("query_id", F.explode("terms").alias("term"))
-    words = postings.select("term").distinct().withColumn("gram", F.substring("term", 1, GRAM))
-    grams = texts.select("id", F.explode(_grams(F.col("text"))).alias("gram"))
-    found = (
-        grams.join(words, "gram")
-        .select("id", "term")
-        .join(texts, "id")
-        .filter(F.col("text").contains(F.col("term")))
-        .select("id", "term")
-    )
-    return (
-        found.join(postings, "term")
-        .groupBy("query_id", "id")
-        .agg(F.count("*").cast("int").alias("score"))
-    )
+    return spread(texts).mapInPandas(score, schema)
 
 
 def keyword_search(
@@ -236,12 +215,22 @@ def keyword_search(
     *,
     top_k: int | None = None,
     filters: Mapping[str, Any] | None = None,
-    max_inline_terms: int = MAX_INLINE_TERMS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """query_id, id, score (and rank, with top_k) of the documents with any of the query's words."""
+    """query_id, id, score (and rank, with top_k) of the documents with any of the query's words.
+
+    The score is the number of distinct query words found anywhere in the document. Reads the
+    queries while it is built.
+    """
     _check_top_k(top_k)
     kept = documents.filter(equality_filter(documents, filters)) if filters else documents
-    return top_per_query(keyword_scores(kept, queries, top_k, max_inline_terms), top_k)
+    terms = query_terms(queries)
+    texts = kept.select("id", haystack().alias("text"))
+    schema = _score_schema(terms, texts, T.IntegerType())
+    blocks = _blocks(terms, lambda r: sum(len(t) + 64 for t in r["terms"] or ()), block_rows)
+    found = _over_blocks(blocks, lambda rows: top_per_query(_score_words(texts, rows, top_k, schema), top_k))
+    # Written blocks are sorted each by itself.
+    return found if top_k is not None else top_per_query(found, None)
 
 
 def _unit_rows(vectors: pd.Series, dimensions: int) -> np.ndarray:
@@ -267,11 +256,12 @@ def vector_search(
     dimensions: int,
     top_k: int | None = None,
     filters: Mapping[str, Any] | None = None,
-    max_inline_queries: int = MAX_INLINE_QUERIES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact cosine neighbours: query_id, id, score (six places), rank.
 
-    Returns at least 30 neighbours per query where there are that many.
+    Returns at least 30 neighbours per query where there are that many. Reads the queries while
+    it is built.
     """
     _check_top_k(top_k)
     k = max(top_k or DEFAULT_TOP_K, DEFAULT_TOP_K)
@@ -279,21 +269,16 @@ def vector_search(
     vectors = kept.select("id", "content_vector").filter(F.col("content_vector").isNotNull())
     wanted = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     schema = _score_schema(wanted, vectors, T.DoubleType())
-    count = wanted.count()
-    if count <= max_inline_queries:
-        best = _neighbours_in_place(vectors, wanted, dimensions, k, schema)
-    else:
-        best = _neighbours_by_blocks(vectors, wanted, count, dimensions, k, schema)
-    return top_per_query(best, k)
+    blocks = _blocks(wanted, lambda r: 8 * len(r["query_vector"]), block_rows)
+    return _over_blocks(blocks, lambda rows: top_per_query(_score_vectors(vectors, rows, dimensions, k, schema), k))
 
 
-def _neighbours_in_place(
-    vectors: DataFrame, wanted: DataFrame, dimensions: int, k: int, schema: T.StructType
+def _score_vectors(
+    vectors: DataFrame, rows: list[Row], dimensions: int, k: int, schema: T.StructType
 ) -> DataFrame:
-    """The (size-checked) queries go to every task; a task returns its k best per query."""
-    rows = wanted.toPandas()
-    query_ids = rows["query_id"].tolist()
-    units = _unit_rows(rows["query_vector"], dimensions)
+    """A block of queries goes to every task; a task returns its k best per query."""
+    query_ids = [r["query_id"] for r in rows]
+    units = _unit_rows(pd.Series([r["query_vector"] for r in rows], dtype=object), dimensions)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(query_ids, k)
@@ -304,35 +289,6 @@ def _neighbours_in_place(
     return spread(vectors).mapInPandas(nearest, schema)
 
 
-def _neighbours_by_blocks(
-    vectors: DataFrame, wanted: DataFrame, count: int, dimensions: int, k: int, schema: T.StructType
-) -> DataFrame:
-    """Both sides are cut into blocks; every pair of blocks is one bounded group with k best rows."""
-    query_blocks = count // QUERY_BLOCK_ROWS + 1
-    document_blocks = vectors.count() // DOCUMENT_BLOCK_ROWS + 1
-
-    def block(col: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(blocks)).cast("bigint")
-
-    def each(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-
-    left = wanted.select(
-        "*", block("query_id", query_blocks).alias("q"), each(document_blocks).alias("d")
-    )
-    right = vectors.select(
-        "*", block("id", document_blocks).alias("d"), each(query_blocks).alias("q")
-    )
-
-    def nearest(queries: pd.DataFrame, documents: pd.DataFrame) -> pd.DataFrame:
-        best = _Best(queries["query_id"].tolist(), k)
-        if len(queries) and len(documents):
-            _add_similarities(best, _unit_rows(queries["query_vector"], dimensions), documents)
-        return best.rows()
-
-    return left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(nearest, schema)
-
-
 def hybrid_search(
     documents: DataFrame,
     queries: DataFrame,

@@ -290,6 +290,15 @@ CASES: dict[str, Case] = {
         SELECT query_id, id, score
         FROM keyword_scores JOIN search_documents USING (id) WHERE source_type = 'en'""",
     ),
+    "keyword_search_blocks": case(
+        lambda s: _keyword(s, top_k=30, block_rows=15), "SELECT * FROM keyword_ranked WHERE rank <= 30"
+    ),
+    "vector_search_blocks": case(
+        lambda s: retrieval.vector_search(
+            s.search_documents(), s.search_queries(), dimensions=DIMENSIONS, block_rows=15
+        ),
+        "SELECT * FROM vector_ranked WHERE rank <= 30",
+    ),
     "vector_search": case(
         lambda s: retrieval.vector_search(
             s.search_documents(), s.search_queries(), dimensions=DIMENSIONS

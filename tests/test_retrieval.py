@@ -35,9 +35,9 @@ def queries(spark):
     return spark.createDataFrame(QUERIES, "query_id string, query string")
 
 
-@pytest.mark.parametrize("bound", [retrieval.MAX_INLINE_TERMS, 0])
+@pytest.mark.parametrize("bound", [retrieval.BLOCK_ROWS, 2])
 def test_keyword_scores_on_both_routes(documents, queries, bound):
-    scored = retrieval.keyword_search(documents, queries, max_inline_terms=bound)
+    scored = retrieval.keyword_search(documents, queries, block_rows=bound)
     assert sorted((r.query_id, r.id, r.score) for r in scored.collect()) == brute_force(DOCS, QUERIES)
 
 
@@ -56,8 +56,8 @@ def test_keyword_routes_agree_on_larger_data(spark):
     documents = spark.createDataFrame(docs, "id string, title string, content string, consultant_name string, source_type string")
     queries = spark.createDataFrame(asked, "query_id string, query string")
     results = []
-    for bound in (retrieval.MAX_INLINE_TERMS, 0):
-        found = retrieval.keyword_search(documents, queries, top_k=7, max_inline_terms=bound)
+    for bound in (retrieval.BLOCK_ROWS, 2):
+        found = retrieval.keyword_search(documents, queries, top_k=7, block_rows=bound)
         results.append(sorted((r.query_id, r.rank, r.id, r.score) for r in found.collect()))
     expected = {}
     for query_id, doc_id, score in brute_force(docs, asked):
@@ -85,12 +85,10 @@ def vectors(spark, count, queries):
     return docs, asked, left, right
 
 
-@pytest.mark.parametrize("bound", [retrieval.MAX_INLINE_QUERIES, 0])
-def test_vector_search_on_both_routes(spark, monkeypatch, bound):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK_ROWS", 3)
-    monkeypatch.setattr(retrieval, "DOCUMENT_BLOCK_ROWS", 40)
+@pytest.mark.parametrize("bound", [retrieval.BLOCK_ROWS, 3])
+def test_vector_search_in_one_and_many_blocks(spark, bound):
     docs, asked, left, right = vectors(spark, 150, 10)
-    found = retrieval.vector_search(left, right, dimensions=8, max_inline_queries=bound)
+    found = retrieval.vector_search(left, right, dimensions=8, block_rows=bound)
     ours = sorted((r.query_id, r.rank, r.id, r.score) for r in found.collect())
     expected = []
     for n, q in enumerate(asked.astype(float)):
