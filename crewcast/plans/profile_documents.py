@@ -189,6 +189,7 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     being built whole.
     """
     people = _people(tables.employees)
+    people = written(people, fresh_path(people.sparkSession, "profile-people"))
     # section → (separator between lines, lines, skills)
     sections: dict[str, tuple[str, DataFrame, DataFrame | None]] = {
         "Overview": ("\n", overview_lines(people), None),
@@ -251,7 +252,8 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     pieces = reduce(DataFrame.unionByName, lines).join(
         people.select("_person", "consultant_name"), "_person"
     )
-    # Offsets and chunks both read the pieces; written once, the ten tables are read once.
+    # Counting, offsets and chunks all read the pieces, so they are written once. Tables with
+    # skills are read a second time for these.
     pieces = written(pieces, fresh_path(pieces.sparkSession, "profile-pieces"))
     # Every piece starts with its section's separator; the header adds what is missing to an
     # empty line between header and first line.

@@ -12,6 +12,7 @@ from crewcast.functions.text import strip
 from crewcast.operators.assignments import non_blank
 from crewcast.operators.reshape import week_map, week_value
 from crewcast.sources.master import MasterData, require_columns
+from crewcast.sources.shared_storage import fresh_path, written
 
 ROW_COLUMNS = (
     "Resource_Id", "ActivityAssignment_Id", "Consultant_Name", "Level", "Job_Title", "Location",
@@ -73,9 +74,9 @@ def combined_leave(leave: DataFrame) -> DataFrame:
 def project_tracker(data: MasterData, run_date: str | date) -> DataFrame:
     """All assignments with a name and a project, whatever their dates.
 
-    The weeks of an assignment arrive as one map instead of 52 joins. A person with very many
-    assignments makes the leave join uneven on its left side only, which adaptive execution
-    splits.
+    The weeks of an assignment arrive as one map instead of 52 joins. The leave maps, one row per
+    person, are written first: adaptive execution splits a person with very many assignments only
+    where both sides of the join are plain shuffles, not aggregates. Runs a job while it is built.
     """
     day = as_date(run_date)
     require_columns(data.assignments, ROW_COLUMNS, "assignments")
@@ -89,6 +90,7 @@ def project_tracker(data: MasterData, run_date: str | date) -> DataFrame:
         .groupBy("Resource_Id")
         .agg(week_map("WeekStart", "Leave_Info").alias("_leave"))
     )
+    leave = written(leave, fresh_path(data.assignments.sparkSession, "leave-maps"))
     joined = base.join(
         assignment_history(data.time_entries, day), "ActivityAssignment_Id", "left"
     ).join(leave, "Resource_Id", "left")
