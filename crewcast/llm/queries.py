@@ -187,4 +187,44 @@ SELECT s.chosen_id, s.rejected_id, s.k::INT AS shared_turns, coalesce(p.prompt,
 FROM shared s LEFT JOIN prompts p USING (chosen_id)
 LEFT JOIN sides c ON c.chosen_id = s.chosen_id AND c.is_chosen
 LEFT JOIN sides r ON r.chosen_id = s.chosen_id AND NOT r.is_chosen""",
+    "op5_near_duplicates": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.h = y.h AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT b, other FROM reached JOIN links ON a = doc_id
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)""",
+    "op6_substring_dedup": """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS pos,
+         unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS s
+  FROM words WHERE len(w) >= 50
+), firsts AS (
+  SELECT s, min(doc_id) AS earliest FROM windows GROUP BY s
+), covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos
+  FROM (SELECT doc_id, pos, unnest(range(0, 50)) AS k FROM windows JOIN firsts USING (s) WHERE earliest < doc_id)
+), placed AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM words
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM placed ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)""",
 }

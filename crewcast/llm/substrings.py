@@ -218,12 +218,14 @@ def _of_two_documents(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, spans: for rows of docs with words to remove, their (first, last) words.
-
-    row_key is xxhash64 of the text, so rows repeated under one id are told apart. Rows without
-    an id are neither searched nor sources; windows of one id never match each other. Runs jobs
-    while it is built; intermediates are written to the shared folder.
+def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The searched rows (doc_id, row_key, text), and the words to remove of those that have some.
+
+    The second table is doc_id, row_key, spans of (first, last) words. row_key is xxhash64 of the
+    text, so rows repeated under one id are told apart. Rows without an id are neither searched
+    nor sources; windows of one id never match each other. Runs jobs while it is built;
+    intermediates are written to the shared folder. What is joined with the texts grows with
+    them, so it is never broadcast.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
@@ -233,7 +235,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     crowded = _per_document(anchors, shared.filter(F.col("docs") > CROWDED), "anchor", "crowded")
     lists = plain.join(crowded, "doc_id", "full_outer")
     rows = written(
-        texts.select("doc_id", F.xxhash64("text").alias("row_key"), "text").join(lists, "doc_id"), fresh_path(spark, "searched")
+        texts.select("doc_id", F.xxhash64("text").alias("row_key"), "text").join(lists.hint("merge"), "doc_id"),
+        fresh_path(spark, "searched"),
     )
     windows = written(
         rows.filter("crowded is not null").select("doc_id", "text", "crowded").mapInArrow(_window_rows, "hash bigint, doc_id bigint"),
@@ -273,15 +276,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "doc_id", "row_key", (F.col("first") + F.col("span_first")).alias("a"), (F.col("first") + F.col("span_last")).alias("b")
     )
     spans = copied.unionByName(searched.toDF("doc_id", "row_key", "first", "last"))
-    return spans.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = spans.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return rows.select("doc_id", "row_key", "text"), spans
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row; null texts count as empty."""
-    spans = repeated_passages(docs)
+    _, spans = repeated_passages(docs)
     return (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
-        .join(spans, ["doc_id", "row_key"], "left")
+        .join(spans.hint("merge"), ["doc_id", "row_key"], "left")
         .select("doc_id", "text", "spans")
         .mapInArrow(_digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     )
@@ -294,16 +298,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     All rows and columns stay.
     """
     spark = docs.sparkSession
-    spans = written(repeated_passages(docs), fresh_path(spark, "passages"))
-    rows = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_key", F.xxhash64("text"))
+    searched, spans = repeated_passages(docs)
     changed = (
-        rows.select("_id", "_key", "text")
-        .join(spans.withColumnsRenamed({"doc_id": "_id", "row_key": "_key"}), ["_id", "_key"])
-        .dropDuplicates(["_id", "_key"])
-        .select("_id", "_key", "text", "spans")
+        searched.dropDuplicates(["doc_id", "row_key"])
+        .join(spans, ["doc_id", "row_key"])
+        .select("doc_id", "row_key", "text", "spans")
         .mapInArrow(_rest, "_id bigint, _key bigint, _rest string")
     )
-    joined = rows.join(written(changed, fresh_path(spark, "changed")), ["_id", "_key"], "left")
+    rows = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_key", F.xxhash64("text"))
+    joined = rows.join(written(changed, fresh_path(spark, "changed")).hint("merge"), ["_id", "_key"], "left")
     changes = F.col("_rest").isNotNull()
     values = {"text": F.coalesce("_rest", "text")}
     if "n_chars" in docs.columns:
