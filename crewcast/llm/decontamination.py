@@ -170,6 +170,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated documents; rows without an id stay. All columns stay."""
+    """docs without the contaminated documents, with all columns.
+
+    Rows that share the id of a contaminated one go with it; rows without an id stay.
+    """
     leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).filter("_leak is not null").distinct()
     return docs.join(written(leaks, fresh_path(docs.sparkSession, "leaks")), docs["doc_id"].cast("bigint") == F.col("_leak"), "left_anti")

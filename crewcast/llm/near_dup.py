@@ -67,8 +67,8 @@ def _sketches(batches):
                 counts.append(len(values))
                 signs.append(signature(values).tobytes() if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(signs, pa.binary())],
-                names=["doc_id", "class_key", "n_shingles", "sign"],
+                [*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(signs, pa.binary())],
+                names=["doc_id", "row_key", "class_key", "n_shingles", "sign"],
             )
 
 
@@ -269,10 +269,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     have a null component_id and are kept. Other columns are ignored. Runs jobs while it is built
     and writes its intermediates to the shared folder.
     """
+    return _judged(docs).drop("row_key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """near_duplicates with row_key, xxhash64 of the text: tells rows of one id apart."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     base = written(
-        docs.mapInArrow(_sketches, "doc_id bigint, class_key binary, n_shingles bigint, sign binary"),
+        docs.mapInArrow(_sketches, "doc_id bigint, row_key bigint, class_key binary, n_shingles bigint, sign binary"),
         fresh_path(spark, "sketches"),
     )
     classes = written(
@@ -326,9 +331,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = written(named, fresh_path(spark, "named"))
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return (
-        base.select("doc_id", "class_key", "n_shingles")
+        base.select("doc_id", "row_key", "class_key", "n_shingles")
         .join(named, "class_key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        .select("doc_id", "row_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -338,6 +343,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     Only ids are moved to decide; the texts of documents that go are not needed.
     """
-    judged = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    judged = written(judged, fresh_path(docs.sparkSession, "copies"))
-    return docs.join(judged, docs["doc_id"].cast("bigint") == F.col("_copy"), "left_anti")
+    copies = _judged(docs).filter("not kept").select(F.col("doc_id").alias("_copy"), F.col("row_key").alias("_copy_key")).distinct()
+    copies = written(copies, fresh_path(docs.sparkSession, "copies"))
+    same = (docs["doc_id"].cast("bigint") == F.col("_copy")) & (F.xxhash64(docs["text"]) == F.col("_copy_key"))
+    return docs.join(copies, same, "left_anti")
