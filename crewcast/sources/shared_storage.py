@@ -4,26 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="crewcast-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in spark.checkpoint.dir.
 
-    Only a local session without one falls back to a temporary folder; on a cluster a folder of
-    one machine would be lost with it.
+    Only a local session without one falls back to a temporary folder, one per process; on a
+    cluster a folder of one machine would be lost with it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="crewcast-")
+    return _local_folder()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own subfolder, which can go when the application has ended."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
