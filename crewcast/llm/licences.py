@@ -105,9 +105,9 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_D
     sizes = [r["size"] for r in known.select("template", "size").distinct().collect()]
     if not sizes:
         sizes = [0]
-    factor = (2 - least) / least
-    # Words of a unit that can reach any template; a unit may repeat bigrams, so only its lower
-    # bound holds for words as it does for bigrams.
+    # Bounds a little wider than the threshold: sizes exactly at the factor are not lost to
+    # rounding; the Dice coefficient itself decides.
+    factor = (2 - least) / least * (1 + 1e-5)
     fewest = min(sizes) / factor
     most = max(sizes) * factor
     lines = F.concat(

@@ -150,3 +150,12 @@ def test_licences(docs_of):
     assert found[3, "MIT"][0] == 1.0 and found[None, "Proprietary"] == (1.0, True)
     assert {d for d, _ in found} == {1, 3, 4, None}
     assert licences.licence_matches(docs_of([])).count() == 0
+
+
+def test_licences_at_the_threshold(docs_of):
+    """Dice exactly 0.8 with sizes 3 : 2 and 2 : 3."""
+    rows = [(1, "2024 All rights reserved."), (2, "All rights reserved worldwide."), (3, "All rights reserved")]
+    found = {(r.doc_id, r.licence, r.dice) for r in licences.licence_matches(docs_of(rows[:2])).collect()}
+    assert {(1, "Proprietary"), (2, "Proprietary")} == {x[:2] for x in found} and min(x[2] for x in found) >= 0.8
+    longer = licences.licence_matches(docs_of(rows), [("Longer", "All rights reserved worldwide.")]).collect()
+    assert (3, "Longer", 0.8) in {(r.doc_id, r.licence, r.dice) for r in longer}
