@@ -1,8 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates. DataFrame functions
 only.
 
-Units are the lines of a text and the text as a whole. A unit and a template are lower-cased and
-reduced to their letters and digits; their similarity is twice the number of distinct word bigrams
+Units are the lines of a text, its paragraphs of several lines (lines without letters or digits
+part them), the text as a whole, and windows: the words of a text from any word pair of a template
+on, as many as that template has. Windows find notices wrapped over lines inside longer texts. A
+unit and a template are lower-cased and reduced to their letters and digits; their similarity is twice the number of distinct word bigrams
 in common over the sum of both numbers. At LEAST_DICE the two sizes cannot differ by more than a
 fixed factor, so units outside the size bounds of all templates never get bigrams, and pairs
 outside a template's own bounds are never counted.
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_DICE = 0.8
+#: What parts paragraphs: a line without letters and digits.
+PARAGRAPH_GAP = r"\n[^\p{L}\p{N}\n]*+\n"
 
 # Notices and licence texts in public use, by SPDX identifier.
 TEMPLATES = (
@@ -84,10 +88,39 @@ def bigrams(words: str) -> Column:
 
 
 def _template_rows(spark: SparkSession, templates) -> DataFrame:
-    """template, licence, size, h: a row per bigram."""
+    """template, licence, hs, length, size, h: a row per bigram; length is the number of pairs with repeats."""
     rows = spark.createDataFrame([(n, licence, text) for n, (licence, text) in enumerate(templates)], "template int, licence string, text string")
     words = rows.select("template", "licence", F.split(normalised(F.col("text")), " ").alias("words"))
-    return words.select("template", "licence", bigrams("words").alias("hs")).select("template", "licence", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
+    pairs = words.select("template", "licence", bigrams("words").alias("hs"), (F.size("words") - 1).alias("length"))
+    return pairs.select("template", "licence", "hs", "length", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
+
+
+def _windows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, row_key, unit, whole_text, template, licence, n, size, common: windows of a template's length.
+
+    A window begins at a word pair of its template and is cut out of the row's text before rows
+    are multiplied, so no text is copied or shuffled.
+    """
+    rows = known.select("length", "h").distinct().collect()
+    if not rows:
+        rows = [{"length": 1, "h": 0}]
+    longest, hashes = max(r["length"] for r in rows), sorted({r["h"] for r in rows})
+    pairs = F.expr("if(size(words) < 2, array(), transform(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1])))")
+    starts = F.filter(F.transform("pairs", lambda h, i: F.when(h.isin(hashes), i)), lambda i: i.isNotNull())
+    cut = F.transform(starts, lambda i: F.struct((-1 - i).alias("unit"), F.slice("pairs", i + 1, longest).alias("run")))
+    window = F.expr("array_distinct(slice(run, 1, length))")
+    return (
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.split(normalised(F.col("text")), " ").alias("words"))
+        .select("doc_id", "row_key", pairs.alias("pairs"))
+        .select("doc_id", "row_key", F.explode(cut).alias("of"))
+        .select("doc_id", "row_key", "of.unit", "of.run", F.col("of.run")[0].alias("h"))
+        .join(F.broadcast(known), "h")
+        .select("doc_id", "row_key", "unit", F.lit(False).alias("whole_text"), "template", "licence", "size", "hs", window.alias("window"))
+        .select(
+            "doc_id", "row_key", "unit", "whole_text", "template", "licence", F.size("window").alias("n"), "size",
+            F.size(F.array_intersect("window", "hs")).cast("bigint").alias("common"),
+        )
+    )
 
 
 def licence_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_DICE) -> DataFrame:
@@ -113,6 +146,10 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_D
     lines = F.concat(
         F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("unit"), F.lit(False).alias("whole_text"))),
         F.array(F.struct(F.col("text").alias("unit"), F.lit(True).alias("whole_text"))),
+        F.transform(
+            F.filter(F.split("text", PARAGRAPH_GAP), lambda part: part.contains("\n")),
+            lambda part: F.struct(part.alias("unit"), F.lit(False).alias("whole_text")),
+        ),
     )
     # A unit is known by its row's text and its place there, so a repeated task gives the same units.
     units = (
@@ -126,11 +163,14 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_D
         .select("doc_id", "row_key", "unit", "whole_text", "n", F.explode_outer("hs").alias("h"))
     )
     dice = 2 * F.col("common") / (F.col("n") + F.col("size"))
-    return (
-        units.join(F.broadcast(known), "h")
+    lined = (
+        units.join(F.broadcast(known.drop("hs", "length")), "h")
         .filter((F.col("n") >= F.col("size") / factor) & (F.col("n") <= F.col("size") * factor))
         .groupBy("doc_id", "row_key", "unit", "whole_text", "template", "licence", "n", "size")
         .agg(F.count("*").alias("common"))
+    )
+    return (
+        lined.unionByName(_windows(docs, known))
         .withColumn("dice", F.round(dice, 6))
         .filter(F.col("dice") >= least)
         # A unit counts for its most similar template.

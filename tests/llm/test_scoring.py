@@ -1,6 +1,7 @@
 """Quality rules and models, toxicity, decontamination and licences."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -159,3 +160,15 @@ def test_licences_at_the_threshold(docs_of):
     assert {(1, "Proprietary"), (2, "Proprietary")} == {x[:2] for x in found} and min(x[2] for x in found) >= 0.8
     longer = licences.licence_matches(docs_of(rows), [("Longer", "All rights reserved worldwide.")]).collect()
     assert (3, "Longer", 0.8) in {(r.doc_id, r.licence, r.dice) for r in longer}
+
+
+def test_wrapped_notices_inside_longer_texts(docs_of, prose):
+    mit = next(text for name, text in licences.TEMPLATES if name == "MIT" and len(text) > 200)
+    before, after = " ".join(prose(1, 300)), " ".join(prose(2, 300))
+    wrapped = "\n * ".join(textwrap.wrap(mit, 78))
+    rows = [
+        (1, f"{before}\n\n{wrapped}\n\n{after}"), (2, f"{before}\n{wrapped}\n{after}"), (3, f"{before} {wrapped} {after}"),
+        (4, f"{before}\nof the Software and to the\n{after}"),
+    ]
+    found = {(r.doc_id, r.licence): (r.dice, r.whole_text) for r in licences.licence_matches(docs_of(rows)).collect()}
+    assert found == {(n, "MIT"): (1.0, False) for n in (1, 2, 3)}
