@@ -4,8 +4,11 @@ A page's tags are read once into a tree of open elements with implied ends (a ne
 an open one, a list item the one before it, a cell, row or table section likewise), and visible
 text is written out as it passes: blocks stand on lines of their own, headings, paragraphs, lists
 and tables apart by a blank line, items carry their bullet or number with indentation by depth,
-and the cells of a table are padded to common columns. Scripts, styles, templates, comments,
-hidden elements and form internals show nothing; all other text does.
+and the cells of a table are padded to common columns. Formulas, labels of drawings, text areas
+and the options a selection shows count as text. Scripts, styles, templates, comments, hidden
+elements, data lists, descriptions and definitions of drawings, annotations of formulas and what
+stands in for missing media, objects or frames show nothing; all other text between tags does.
+Attributes (values of inputs, alternative texts, labels of options) are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,9 @@ _UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?
 # Element names of the HTML standard by their part in layout.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style template noscript iframe object noembed noframes svg math datalist select option textarea audio video canvas title".split())
+_UNSEEN = frozenset("head script style template noscript iframe object noembed noframes datalist audio video canvas title".split())
+#: Not drawn inside a drawing or formula; elsewhere these are unknown elements.
+_UNSEEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
 _APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 _BLOCK = _APART | frozenset(
     "html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li"
@@ -57,6 +62,7 @@ _IMPLIED_END = {
 }
 _BOUNDARY = frozenset("table td th caption template object".split())
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name in _RAW}
+_SELECT_END = re.compile(r"</?select(?=[\s/>]|\Z)", re.IGNORECASE)
 #: Levels of lists and quotes that still indent.
 DEEPEST = 16
 
@@ -163,6 +169,7 @@ def page_text(page: str) -> str:
     counts: dict[str, int] = {}  # open elements by name
     lists: list[list] = []  # kind and next number
     keep = 0  # open <pre>
+    chosen: set[int] = set()  # where the options begin that the open selection shows
 
     def shows() -> bool:
         return not stack or stack[-1][1]
@@ -176,6 +183,10 @@ def page_text(page: str) -> str:
         flow = flows[-1]
         if name == "pre":
             keep -= 1
+        if name in ("select", "option", "mtd", "mtr"):
+            flow.space = True
+        if name == "textarea" or name == "text" and counts.get("svg"):
+            flow.end_line()
         if name in ("td", "th", "caption") and tables and len(flows) > 1:
             lines = flows.pop().done()
             if name == "caption":
@@ -247,13 +258,18 @@ def page_text(page: str) -> str:
         if name in _IMPLIED_END:
             close_to(*_IMPLIED_END[name])
         shown = shows() and name not in _UNSEEN and not _is_hidden(token.group(3))
+        foreign = counts.get("svg") or counts.get("math")
+        if foreign and any(counts.get(outer) and name in names for outer, names in _UNSEEN_IN.items()):
+            shown = False
+        if name == "option" and counts.get("select") and token.start() not in chosen:
+            shown = False
         if name in _VOID:
             if shown and name == "br":
                 flows[-1].end_line(forced=True)
             elif shown and name == "hr":
                 flows[-1].apart()
             continue
-        if token.group(3).endswith("/") and name not in _BLOCK and name not in _RAW:
+        if token.group(3).endswith("/") and name not in _BLOCK and (foreign or name not in _RAW):
             continue
         flow = flows[-1]
         if shown:
@@ -289,6 +305,12 @@ def page_text(page: str) -> str:
             elif name == "pre":
                 flow.apart()
                 keep += 1
+            elif name in ("select", "option", "mtd", "mtr"):
+                flow.space = True
+                if name == "select":
+                    chosen = _shown_options(page, at, token.group(3))
+            elif name == "textarea" or name == "text" and counts.get("svg"):
+                flow.end_line()
             elif name in _APART:
                 flow.apart()
             elif name in _BLOCK:
@@ -298,7 +320,9 @@ def page_text(page: str) -> str:
         counts[name] = counts.get(name, 0) + 1
         if name in _RAW:  # only its own end tag ends the text of such an element
             end = _RAW_END[name].search(page, at)
-            at = end.start() if end else len(page)
+            begin, at = at, end.start() if end else len(page)
+            if name == "textarea" and shown and begin < at:
+                flow.text(html.unescape(page[begin:at]), True)
     while stack:
         close()
     return "\n".join(root.done())
@@ -311,12 +335,31 @@ def _above(stack: list[tuple[str, bool]], name: str) -> list[tuple[str, bool]]:
     return []
 
 
+def _shown_options(page: str, at: int, attributes: str) -> set[int]:
+    """Where the options begin that a selection shows: all of a list, else the one selected or first."""
+    of = {name.lower(): "".join(values) for name, *values in _ATTRIBUTE.findall(attributes)}
+    size = of.get("size", "")
+    end = _SELECT_END.search(page, at)
+    until = end.start() if end else len(page)
+    options = []
+    while at < until:
+        token = _TOKEN.match(page, at, until)
+        at = token.end()
+        if token.group(2) and not token.group(1) and token.group(2).lower() == "option":
+            names = {name.lower() for name, *_ in _ATTRIBUTE.findall(token.group(3))}
+            options.append((token.start(), "selected" in names, "disabled" in names))
+    if "multiple" in of or size.isdecimal() and int(size[:6]) > 1:
+        return {start for start, _, _ in options}
+    picked = [start for start, selected, _ in options if selected][-1:]
+    return set(picked or [start for start, _, disabled in options if not disabled][:1])
+
+
 def _is_hidden(attributes: str) -> bool:
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and "".join(values).lower() == "true":
+        if name == "hidden":
             return True
         if name == "style" and _UNSEEN_STYLE.search("".join(values)):
             return True

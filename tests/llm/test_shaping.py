@@ -123,6 +123,28 @@ def test_page_text(page):
     assert page_text(page) == CASES[page]
 
 
+SEEN = {
+    "<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b": "a x=2 b",
+    "a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><path d='M0'/><text>one</text><text>two</text></svg>b": "a\none\ntwo\nb",
+    "a<textarea>one &amp;\n  <b>two</textarea>b": "a\none &\n  <b>two\nb",
+    "a<select><option>one<option selected>two<option>three</select>b": "a two b",
+    "a<select><option disabled>one</option><option>two</option></select>b": "a two b",
+    "a <select multiple><option>one<option>two</select> b": "a one two b",
+    "a<datalist><option>no</datalist>b": "ab",
+    "a <span aria-hidden='true'>*</span> b": "a * b",
+    "a <select hidden><option selected>no</select><textarea style='display:none'>no</textarea> b": "a b",
+}
+
+
+@pytest.mark.parametrize("page", SEEN)
+def test_seen_text_of_forms_drawings_and_formulas(page):
+    assert page_text(page) == SEEN[page]
+
+
+def test_many_unclosed_selections_end():
+    assert page_text("<select><option>x" * 20_000).split() == ["x"] * 20_000
+
+
 def test_long_and_deep_pages_end():
     assert page_text("<div>" * 50_000 + "x" + "<ul><li>" * 20_000 + "y").count("\n") == 2
     assert page_text('<a "' * 20_000) == "" and page_text("<" * 50_000) == "<" * 50_000
