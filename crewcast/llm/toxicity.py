@@ -3,7 +3,7 @@
 Channel: a token is a lattice of look-alike characters (fixed list), separators between letters,
 letters spaced apart and repeated letters. Viterbi finds the most probable spelling under a
 four-gram character model with shorter orders behind it, counted over the words of all documents.
-A plain word has one path only and is its own restoration.
+A plain word has one path only and is its own restoration; a token of digits only is a number.
 
 Score: a text sums the log-likelihood ratios of the model's words it holds, and a logistic curve
 fitted on the training rows turns the sum into a probability. The words are selected among the
@@ -41,9 +41,6 @@ THRESHOLD = 0.7
 #: Labelled rows the word model is fitted on at most: those of the smallest hash of their id. So
 #: few ids are sent to all tasks, and no text is shuffled to meet its label.
 MOST_LABELLED = 40_000
-#: Longest token that is decoded, in characters; no disguised word is longer. A longer run of
-#: spaced letters is decoded in parts.
-LONGEST = 64
 
 # Characters that stand for letters.
 LOOKALIKES = {
@@ -58,10 +55,12 @@ _PLAIN, _SWAP, _DROP, _BREAK, _SHORTEN, _ODD = 0.0, -1.0, -0.5, -3.0, -1.5, -12.
 
 _EDGE = ".,;:!?\"'()[]{}…»«"
 _WIDE_EDGE = _EDGE + "%&$*#|<>+-=_~^@/\\0123456789"
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]\S){3,}(?!\S)")
+#: Words taken apart: single characters, or pieces of one or two, with any white space between.
+_SPACED = tuple(re.compile(rf"(?<!\S)\S{piece}(?:\s+\S{piece}){{2,}}(?!\S)") for piece in ("", "{1,2}"))
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
+#: Look-alikes and separators, and doubled letters: what has more than one path.
 _DISGUISE = re.compile(r"[0-9@$!|+€£¢(*#._~'`^,:;/\\-]")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 
 
 _FACTOR, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -150,13 +149,15 @@ class Spelling:
         return value
 
     def restore(self, token: str) -> str:
-        """The best spelling; words are separated by a space."""
-        return " ".join(self._restore(token[n : n + LONGEST]) for n in range(0, len(token), LONGEST)).strip()
+        """The best spelling; words are separated by a space.
 
-    def _restore(self, token: str) -> str:
-        paths: dict[str, tuple[float, str]] = {"\0\0\0": (0.0, "")}
+        The state is carried over the whole token. A path is its last piece and the path before;
+        where all paths have met, what they spell is settled.
+        """
+        settled: list[str] = []
+        paths: dict[str, tuple[float, tuple | None]] = {"\0\0\0": (0.0, None)}
         for run in _RUN.finditer(token):
-            after: dict[str, tuple[float, str]] = {}
+            after: dict[str, tuple[float, tuple | None]] = {}
             for piece, cost in _choices(run.group(1), len(run.group(0))):
                 for history, (score, spelled) in paths.items():
                     total, past = score + cost, history
@@ -170,9 +171,27 @@ class Spelling:
                             total += self.log_probability(past, char)
                             past = past[1:] + char
                     if past not in after or total > after[past][0]:
-                        after[past] = (total, spelled + piece)
+                        after[past] = (total, (spelled, piece))
             paths = after or paths
-        return max((s + self.log_probability(h, "\0"), t) for h, (s, t) in paths.items())[1]
+            if len(paths) == 1:
+                ((history, (_, spelled)),) = paths.items()
+                settled += _pieces(spelled)
+                paths = {history: (0.0, None)}
+        best = max(((s + self.log_probability(h, "\0"), "".join(_pieces(t))) for h, (s, t) in paths.items()))[1]
+        return ("".join(settled) + best).strip()
+
+
+def _pieces(path: tuple | None) -> list[str]:
+    found = []
+    while path is not None:
+        path, piece = path
+        found.append(piece)
+    return found[::-1]
+
+
+def _spaced_runs(text: str) -> set[str]:
+    """Runs of words taken apart, in lower case with one blank between the pieces."""
+    return {" ".join(m.group(0).lower().split()) for pattern in _SPACED for m in pattern.finditer(text)}
 
 
 def _choices(char: str, count: int) -> list[tuple[str, float]]:
@@ -205,7 +224,7 @@ class _Restored(dict):
         core = low.strip(_EDGE)
         words = (core, low.strip(_WIDE_EDGE))
         if core and not core.isdigit():
-            if _DISGUISE.search(core) or _STRETCHED.search(core):
+            if _DISGUISE.search(core) or _DOUBLED.search(core):
                 words = (*words, *self.spelling.restore(core).split(" "))
             if low[0] in "!(":  # a mark, or the first letter
                 words = (*words, *self.spelling.restore(low.rstrip(_EDGE)).split(" "))
@@ -218,8 +237,8 @@ def restored_words(text: str, cache: _Restored) -> set[str]:
     found: set[str] = set()
     for words in set(map(cache.__getitem__, text.split())):
         found.update(words)
-    for match in _SPACED.finditer(text):
-        found.update(cache.spelling.restore(match.group(0).lower()).split(" "))
+    for run in _spaced_runs(text):
+        found.update(cache.spelling.restore(run).split(" "))
     found.discard("")
     return found
 
@@ -378,8 +397,8 @@ def _sum(text: str, cache: _Marked, model: ToxicityModel) -> float:
     found: set[str] = set()
     for words in set(map(cache.__getitem__, text.split())):
         found.update(words)
-    for match in _SPACED.finditer(text):
-        found.update(w for w in cache.restored.spelling.restore(match.group(0).lower()).split(" ") if w in model.words)
+    for run in _spaced_runs(text):
+        found.update(w for w in cache.restored.spelling.restore(run).split(" ") if w in model.words)
     return round(min(sum(model.words[w] for w in sorted(found)), CEILING), 1)
 
 

@@ -103,6 +103,17 @@ def test_disguised_words_are_restored_and_scored(docs_of, toxic_tables):
     assert all(r.predicted == (r.doc_id % 8 == 0) for r in held)
 
 
+def test_doubled_letters_and_words_taken_apart(docs_of, toxic_tables):
+    rows, labels = toxic_tables
+    shapes = [
+        "you idiiot there", "an idioot here", "morron", "i  d i\to\nt", "an id io t again", "a " + "x-" * 29 + "idi.ot end",
+        " ".join("zyx" * 20 + "idiot"), "-".join("z" * 70) + " m-o-r-o-n",
+    ]
+    found = {r.doc_id: r for r in toxicity.toxicity_scores(docs_of([*rows, *((3000 + k, t) for k, t in enumerate(shapes))]), labels).collect()}
+    assert all(found[3000 + k].predicted == 1 for k in range(len(shapes)))
+    assert all(found[d].predicted == 0 for d in (2000, 2001, 2002, 2003))
+
+
 def test_toxicity_without_labels_or_rows(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity_scores(docs_of(ODD), none).collect()} == {0.5}
