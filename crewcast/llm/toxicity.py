@@ -9,8 +9,8 @@ Score: a text sums the log-likelihood ratios of the model's words it holds, and
 fitted on the training rows turns the sum into a probability. The words are selected among the
 restored words of the labelled training rows: LIFT times as frequent in toxic texts, with a
 log-likelihood statistic of at least SIGNIFICANCE. Equal texts count once. Everything the model
-gathers is aggregated by Spark; the driver gets the counts of at most 2**SLOTS_BITS hashed
-n-grams, at most MOST_WORDS words and at most SUMS distinct sums.
+gathers is aggregated by Spark; the driver gets the counts of all distinct n-grams (12 bytes each,
+so they grow with the corpus's spellings), at most MOST_WORDS words and at most SUMS distinct sums.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from crewcast.llm.words import REMEMBERED_WORDS, WORD_GAP, slices
 from crewcast.sources.shared_storage import fresh_path, written
 
-#: Slots of hashed character n-grams, all orders together: the size of the character model.
-SLOTS_BITS = 19
 ORDER = 4
 SIGNIFICANCE, LIFT, LEAST_TEXTS = 20.0, 10.0, 4
 #: Words of the model: those of the largest statistic.
@@ -66,13 +64,20 @@ _DOUBLED = re.compile(r"([^\W\d_])\1")
 _FACTOR, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
+class Grams(NamedTuple):
+    """Counts of distinct n-grams of all orders by their 64-bit keys, sorted by key."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+
+
 def _slots(codes: list[np.ndarray]) -> np.ndarray:
-    """The slot of the n-gram spelled by aligned arrays of character codes."""
+    """The 64-bit key of the n-gram spelled by aligned arrays of character codes."""
     total = np.full(len(codes[0]), len(codes), np.uint64)
     for code in codes:
         total = (total ^ code.astype(np.uint64)) * np.uint64(_FACTOR)
         total ^= total >> np.uint64(29)
-    return (total >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+    return total.view(np.int64)
 
 
 def _slot(gram: str) -> int:
@@ -81,12 +86,11 @@ def _slot(gram: str) -> int:
     for char in gram:
         total = (total ^ ord(char)) * _FACTOR & _MASK
         total ^= total >> 29
-    return total >> 64 - SLOTS_BITS
+    return total - (total >> 63 << 64)
 
 
 def _gram_rows(batches):
     """word, n -> slot, n. Three marks (code 0) stand before a word; the one after it counts."""
-    table = np.zeros(1 << SLOTS_BITS)
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         kept = [n for n, w in enumerate(words) if w.isalpha()]
@@ -100,13 +104,12 @@ def _gram_rows(batches):
         weights = np.repeat(counts[kept], sizes).astype(np.float64)
         for order in range(1, ORDER + 1):
             grams = [codes[places - n] for n in range(order - 1, -1, -1)]
-            table += np.bincount(_slots(grams), weights, 1 << SLOTS_BITS)
-    at = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["slot", "n"])
+            keys, which = np.unique(_slots(grams), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(which, weights))], names=["slot", "n"])
 
 
-def character_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of hashed character n-grams over the words of all texts."""
+def character_counts(docs: DataFrame) -> Grams:
+    """Counts of all distinct character n-grams over the words of all texts."""
     spark = docs.sparkSession
     words = (
         docs.select(F.explode(F.split(F.lower("text"), WORD_GAP)).alias("word"))
@@ -115,23 +118,25 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         .agg(F.count("*").alias("n"))
     )
     grams = words.mapInArrow(_gram_rows, "slot bigint, n double").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = written(grams, fresh_path(spark, "grams")).toPandas()
-    table = np.zeros(1 << SLOTS_BITS, np.float32)
-    table[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return table
+    rows = written(grams.select("slot", F.col("n").cast("float").alias("n")), fresh_path(spark, "grams")).toArrow()
+    keys = rows.column("slot").to_numpy()
+    order = np.argsort(keys)
+    return Grams(keys[order], rows.column("n").to_numpy()[order])
 
 
 class Spelling:
     """The character model and the decoder."""
 
-    def __init__(self, table: np.ndarray) -> None:
+    def __init__(self, table: Grams) -> None:
         self.table = table
-        self.total = max(float(table.sum()) / ORDER, 1.0)
+        self.total = max(float(table.counts.sum(dtype=np.float64)) / ORDER, 1.0)
         self.words = self._count("\0")
         self.known: dict[tuple[str, str], float] = {}
 
     def _count(self, gram: str) -> float:
-        return float(self.table[_slot(gram)])
+        key = _slot(gram)
+        at = int(self.table.keys.searchsorted(key))
+        return float(self.table.counts[at]) if at < len(self.table.keys) and self.table.keys[at] == key else 0.0
 
     def log_probability(self, history: str, char: str) -> float:
         """log P(char | three characters before), each order interpolated with the next shorter."""
@@ -260,7 +265,7 @@ class _Marked(dict):
 
 class ToxicityModel(NamedTuple):
     name: str
-    table: np.ndarray
+    table: Grams
     words: dict[str, float]
     slope: float
     base: float
@@ -277,7 +282,7 @@ def _marked(model: ToxicityModel) -> _Marked:
     return _worker[model.name]
 
 
-def _word_rows(table: np.ndarray):
+def _word_rows(table: Grams):
     def rows(batches):
         cache = _Restored(Spelling(table))
         for whole in batches:

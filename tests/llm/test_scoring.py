@@ -126,6 +126,18 @@ def test_slots_agree():
     assert toxicity._slot(gram) == toxicity._slots([np.array([ord(c)]) for c in gram])[0]
 
 
+def test_strange_spellings_count_nothing_beside_many_others(docs_of):
+    """More distinct n-grams than half a million: known ones keep exact counts, strange ones none."""
+    draw = random.Random(8)
+    words = ["".join(chr(0x4E00 + draw.randrange(20_000)) for _ in range(6)) for _ in range(100_000)]
+    docs = docs_of([(n, " ".join([*words[n::500], "plain"])) for n in range(500)])
+    spelling = toxicity.Spelling(toxicity.character_counts(docs))
+    assert spelling._count("plai") == spelling._count("\0pl") == 500.0
+    assert all(spelling._count(w[1:5]) >= 1.0 for w in words[:500])
+    strange = ["".join(chr(0xAC00 + draw.randrange(10_000)) for _ in range(4)) for _ in range(500)]
+    assert not any(map(spelling._count, strange))
+
+
 def test_leaks(docs_of, spark, prose):
     item, other = prose(1, 40), prose(2, 12)
     near = item[:20] + ["changed"] + item[21:]
