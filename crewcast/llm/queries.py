@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from crewcast.llm.conversation_repair import damaged, repair_report
 from crewcast.llm.decontamination import contaminated
 from crewcast.llm.html_text import html_texts
 from crewcast.llm.licences import TEMPLATES, licence_matches
+from crewcast.llm.line_dedup import line_digests
 from crewcast.llm.near_dup import near_duplicates
 from crewcast.llm.packing import packed
 from crewcast.llm.preferences import neighbour_pairs, preferences
 from crewcast.llm.quality_model import quality_scores
 from crewcast.llm.quality_rules import quality_rules
+from crewcast.llm.ranked_search import ranked_documents
 from crewcast.llm.substrings import substring_digests
 from crewcast.llm.toxicity import toxicity_scores
 
@@ -74,6 +77,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(_documents(spark, folder), _labels(spark, folder))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return repair_report(conversations, damaged(conversations))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_documents(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_digests(_documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_formatting": op8_preference_formatting,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_line_dedup": op13_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -227,4 +246,100 @@ WITH words AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)""",
+    "op11_conversation_repair": """
+WITH RECURSIVE sums AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(
+           flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+             lambda c: list_transform(range(8), lambda b: ((ascii(c) >> b::INT) & 1)::BIGINT))),
+           lambda crc, b: CASE WHEN xor(crc & 1, b) = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END,
+           4294967295::BIGINT)) % 20 AS kind
+  FROM conversations
+), turns AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM sums WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM turns
+), faulty AS (
+  SELECT conv_id, turn, n, role, text, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+              WHEN n > min(n) OVER (PARTITION BY conv_id, role, text) THEN 'r'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '-' END AS fault
+  FROM numbered
+), moves(p, initial, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(p, q, cost, audit, lines) AS (
+  SELECT s, s, 0, '', []::VARCHAR[] FROM range(4) t(s)
+  UNION ALL VALUES (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (3, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+         (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])
+), edits AS (
+  SELECT conv_id, n, p, p AS q, 2 AS cost, 'D' AS audit, []::VARCHAR[] AS lines FROM faulty, (SELECT s AS p FROM range(4) t(s))
+  UNION ALL SELECT conv_id, n, p, q, CASE fault WHEN 't' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+  FROM faulty JOIN moves USING (initial) WHERE fault IN ('-', 't')
+  UNION ALL SELECT conv_id, n, p, q, CASE fault WHEN 't' THEN 6 ELSE 1 END, 'R', [CASE m.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM faulty, moves m WHERE fault IN ('-', 't') AND m.initial <> 's'
+), parsed AS (
+  SELECT conv_id, 0::BIGINT AS n, q::BIGINT AS state, {'cost': cost::BIGINT, 'audit': audit, 'lines': lines} AS best
+  FROM (SELECT DISTINCT conv_id FROM faulty), inserts WHERE p = 0
+  UNION ALL
+  SELECT e.conv_id, e.n, i.q::BIGINT,
+         min({'cost': (x.best.cost + e.cost + i.cost)::BIGINT, 'audit': x.best.audit || e.audit || i.audit, 'lines': x.best.lines || e.lines || i.lines})
+  FROM parsed x JOIN edits e ON e.conv_id IS NOT DISTINCT FROM x.conv_id AND e.n = x.n + 1 AND e.p = x.state JOIN inserts i ON i.p = e.q
+  GROUP BY e.conv_id, e.n, i.q
+), repaired AS (
+  SELECT p.conv_id, min(best) AS best
+  FROM parsed p JOIN (SELECT conv_id, max(n) AS n FROM faulty GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.n = p.n
+  WHERE state IN (0, 3) GROUP BY p.conv_id
+), pairs AS (
+  SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair, n FROM faulty
+), counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'r') AS duplicate, count(*) FILTER (fault = 't') AS truncated
+  FROM faulty GROUP BY conv_id
+), broken AS (
+  SELECT conv_id, count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN broken b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id""",
+    "op12_ranked_search": """
+WITH words AS (
+  SELECT row_number() OVER () AS doc, doc_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), lengths AS (SELECT doc, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths),
+occurrences AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM words) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM occurrences, totals GROUP BY term, docs),
+item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)
+), item_terms AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM item_words) GROUP BY ALL),
+scores AS (
+  SELECT item_id, doc_id, doc, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM item_terms JOIN weights USING (term) JOIN occurrences USING (term) JOIN lengths USING (doc), totals GROUP BY ALL
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20""",
+    "op13_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeated AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (SELECT doc_id, pos, line, last IS NOT NULL AND doc_id <> last AS gone FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
 }
