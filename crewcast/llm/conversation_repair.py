@@ -161,32 +161,38 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def numbered_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, n (from 1), turn, role, text, initial and fault of each row; written, runs jobs.
+    """conv_id, n (from 1), turn, role, text; written, runs jobs.
 
     Rows go by turn, nulls first, equal turns by role and text, so equal rows stand side by side.
-    A fault is the first that holds: "b" blank, "r" repeats an earlier row of the conversation in
-    role and text, "t" truncated (the last sign that is no white space is none of .!?), else "-".
     """
-    spark = turns.sparkSession
     numbers = [F.col(c).cast("bigint").alias(c) for c in ("conv_id", "turn")]
     rows = turns.select(*numbers, *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
-    numbered = written(number_rows(rows, ["conv_id"], "turn", "n", ties=["role", "text"]), fresh_path(spark, "turns"))
+    return written(number_rows(rows, ["conv_id"], "turn", "n", ties=["role", "text"]), fresh_path(turns.sparkSession, "turns"))
+
+
+def faulty_turns(numbered: DataFrame) -> DataFrame:
+    """conv_id, n, turn, initial and fault of each row of numbered_turns; written without texts, runs a job.
+
+    A fault is the first that holds: "b" blank, "r" repeats an earlier row of the conversation in
+    role and text, "t" truncated (the last sign that is no white space is none of .!?), else "-".
+    """
     # The first row of each (role, text) is found by an aggregate and meets the rows by their unique
     # number, so neither a frequent text nor a long conversation is a hot key.
     alike = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     first = numbered.groupBy(F.col("conv_id").alias("_conv"), alike.alias("_alike")).agg(F.min("n").alias("_first")).drop("_alike")
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("n") == F.col("_first"))
-    fault = (
-        F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), "b")
-        .when(F.col("_first").isNull(), "r")
-        .when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "t")
-        .otherwise("-")
-    )
     initial = F.substring("role", 1, 1)
-    return numbered.join(first, same, "left").select(
-        "conv_id", "n", "turn", "role", "text",
-        F.when(initial.isin("s", "u", "a"), initial).otherwise("o").alias("initial"), fault.alias("fault"),
+    rows = numbered.select(
+        "conv_id", "n", "turn",
+        F.when(initial.isin("s", "u", "a"), initial).otherwise("o").alias("initial"),
+        (~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("_blank"),
+        (~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")).alias("_open"),
     )
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("n") == F.col("_first"))
+    fault = F.when(F.col("_blank"), "b").when(F.col("_first").isNull(), "r").when(F.col("_open"), "t").otherwise("-")
+    return written(
+        rows.join(first, same, "left").select("conv_id", "n", "turn", "initial", fault.alias("fault")),
+        fresh_path(numbered.sparkSession, "faulty-turns"),
+    )
 
 
 def _cell_columns(cells: list[Cell]) -> list[pa.Array]:
@@ -199,10 +205,10 @@ def _cell_columns(cells: list[Cell]) -> list[pa.Array]:
 _SPAN_COLUMNS = "conv_id bigint, span bigint, initials string, costs array<bigint>, audits array<string>"
 
 
-def _spans(turns: DataFrame) -> DataFrame:
+def _spans(faulty: DataFrame) -> DataFrame:
     """The cells of spans of SPAN rows."""
     rows = F.array_sort(F.collect_list(F.struct("n", "initial", "fault")))
-    grouped = turns.groupBy("conv_id", F.floor((F.col("n") - 1) / SPAN).alias("span")).agg(rows.alias("rows"))
+    grouped = faulty.groupBy("conv_id", F.floor((F.col("n") - 1) / SPAN).alias("span")).agg(rows.alias("rows"))
     words = grouped.select(
         "conv_id", "span", F.array_join("rows.initial", "").alias("initials"), F.array_join("rows.fault", "").alias("faults")
     )
@@ -237,14 +243,14 @@ def _joined_spans(spans: DataFrame) -> DataFrame:
     return grouped.select("conv_id", "span", "rows").mapInArrow(join, _SPAN_COLUMNS)
 
 
-def parsed_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, cost, audit, initials (of all rows), illegal of each conversation of numbered_turns.
+def parsed_conversations(faulty: DataFrame) -> DataFrame:
+    """conv_id, cost, audit, initials (of all rows), illegal of each conversation of faulty_turns.
 
     illegal counts neighbouring rows whose initials are none of su, ua, au. Runs jobs: one per
     level of spans.
     """
-    spark = turns.sparkSession
-    spans = written(_spans(turns), fresh_path(spark, "spans"))
+    spark = faulty.sparkSession
+    spans = written(_spans(faulty), fresh_path(spark, "spans"))
     while spans.agg(F.max("span")).first()[0]:
         spans = written(_joined_spans(spans), fresh_path(spark, "spans"))
 
@@ -267,7 +273,7 @@ def parsed_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def repaired_turns(turns: DataFrame, parses: DataFrame) -> DataFrame:
+def repaired_turns(numbered: DataFrame, parses: DataFrame) -> DataFrame:
     """conv_id, position, edit, n, role, text: the repaired rows in order; deleted rows have no role and text.
 
     Edits and rows meet by (conv_id, n), which is unique, so a long conversation is spread.
@@ -293,7 +299,7 @@ def repaired_turns(turns: DataFrame, parses: DataFrame) -> DataFrame:
     made = parses.select("conv_id", "audit", "initials").mapInArrow(
         list_edits, "conv_id bigint, position bigint, edit string, n bigint, new_role string"
     )
-    rows = turns.select(F.col("conv_id").alias("_conv"), F.col("n").alias("_n"), F.col("role").alias("_role"), F.col("text").alias("_text"))
+    rows = numbered.select(F.col("conv_id").alias("_conv"), F.col("n").alias("_n"), F.col("role").alias("_role"), F.col("text").alias("_text"))
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("n") == F.col("_n"))
     stays = F.col("edit") != DELETE
     return made.join(rows, same, "left").select(
@@ -347,9 +353,10 @@ def repair_report(conversations: DataFrame, turns: DataFrame | None = None) -> D
     not read. Runs jobs while it is built.
     """
     spark = conversations.sparkSession
-    rows = written(numbered_turns(conversations if turns is None else turns), fresh_path(spark, "faulty-turns"))
+    numbered = numbered_turns(conversations if turns is None else turns)
+    rows = faulty_turns(numbered)
     parses = written(parsed_conversations(rows), fresh_path(spark, "repairs"))
-    digests = conversation_digests(repaired_turns(rows, parses))
+    digests = conversation_digests(repaired_turns(numbered, parses))
 
     def faults(kind: str) -> Column:
         return F.count(F.when(F.col("fault") == kind, 1))

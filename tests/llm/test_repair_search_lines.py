@@ -180,7 +180,7 @@ def test_repair_of_a_long_conversation(spark, monkeypatch):
 def test_repaired_rows_follow_the_pattern(spark):
     rows = [(1, 0, "assistant", "a."), (1, 1, "user", "b?"), (1, 2, "user", "c."), (1, 3, "user", "cut off")]
     turns = repair.numbered_turns(conversation_rows(spark, rows))
-    repaired = repair.repaired_turns(turns, repair.parsed_conversations(turns)).orderBy("position").collect()
+    repaired = repair.repaired_turns(turns, repair.parsed_conversations(repair.faulty_turns(turns))).orderBy("position").collect()
     assert [(r.edit, r.role, r.text) for r in repaired] == [("D", None, None), ("K", "user", "b?"), ("R", "assistant", "c."), ("D", None, None)]
 
 
