@@ -137,3 +137,45 @@ def future_assignment_weeks(eligible: DataFrame, as_of: str | date) -> DataFrame
         .filter(has_week_bit(F.col("mask"), F.col("WeekStart"), year))
         .select("Resource_Id", "WeekStart", F.lit(True).alias("Has_Future_Assignment"))
     )
+
+
+# Weeks of one mask: a bigint's bits without the sign.
+_WEEKS_PER_MASK = 62
+
+
+def assignment_weeks(assignments: DataFrame, first: str | date, last: str | date) -> DataFrame:
+    """Distinct (Resource_Id, WeekStart) with an assignment in a week from first's to last's, over any span of years.
+
+    Counts assignments with a person, a name and a project, whatever year they begin in; a null
+    end is open and reaches to the last week. Each person's weeks are bits, one bigint per 62 weeks,
+    merged on the map side: overlapping and open assignments make no rows of their own.
+    """
+    week, end = monday_of(as_date(first)), monday_of(as_date(last))
+    masks = []
+    while week <= end:
+        count = min(_WEEKS_PER_MASK, (end - week).days // 7 + 1)
+        low = F.greatest(F.floor(F.datediff(monday(F.col(START)), F.lit(week)) / 7), F.lit(0))
+        closed = F.floor(F.datediff(monday(F.coalesce(F.col(END), F.lit(end))), F.lit(week)) / 7)
+        high = F.least(closed, F.lit(count - 1))
+        every = F.lit((1 << count) - 1).cast("bigint")
+        bits = F.call_function("shiftleft", every, low.cast("int")).bitwiseAND(
+            F.call_function("shiftright", every, (F.lit(count - 1) - high).cast("int"))
+        )
+        masks.append((week, count, F.when((low <= high) & (high >= 0), bits).otherwise(F.lit(0).cast("bigint"))))
+        week += WEEK * count
+    counted = assignments.filter(
+        F.col("Resource_Id").isNotNull() & F.col(START).isNotNull() & non_blank("Consultant_Name") & non_blank("Project_Name")
+        & (F.col(START) <= F.lit(end + WEEK)) & (F.col(END).isNull() | (F.col(END) >= F.lit(monday_of(as_date(first)))))
+        & (F.col(END).isNull() | (F.col(START) <= F.col(END)))
+    )
+    people = counted.groupBy("Resource_Id").agg(*[F.bit_or(mask).alias(f"_m{n}") for n, (_, _, mask) in enumerate(masks)])
+
+    def set_weeks(mask: Column, start: date, count: int) -> Column:
+        def is_set(week: Column) -> Column:
+            bit = (F.datediff(week, F.lit(start)) / 7).cast("int")
+            return F.call_function("shiftright", mask, bit).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+        return F.filter(F.sequence(F.lit(start), F.lit(start + WEEK * (count - 1)), F.expr("interval 7 days")), is_set)
+
+    weeks = [set_weeks(F.col(f"_m{n}"), start, count) for n, (start, count, _) in enumerate(masks)]
+    return people.select("Resource_Id", F.explode(F.flatten(F.array(*weeks))).alias("WeekStart"))

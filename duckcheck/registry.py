@@ -3,7 +3,8 @@
 from duckcheck.case import Case
 from duckcheck.log_cases import CASES as LOGS
 from duckcheck.people_cases import CASES as PEOPLE
+from duckcheck.question_cases import CASES as QUESTIONS
 from duckcheck.report_cases import CASES as REPORTS
 from duckcheck.text_cases import CASES as TEXTS
 
-CASES: dict[str, Case] = {**REPORTS, **PEOPLE, **TEXTS, **LOGS}
+CASES: dict[str, Case] = {**REPORTS, **PEOPLE, **TEXTS, **LOGS, **QUESTIONS}

@@ -14,6 +14,7 @@ from crewcast.plans import questions
 from crewcast.sources import report_store, shared_storage
 from crewcast.sources.profiles import derived_profiles
 from crewcast.sources.star_schema import StarSchema
+from duckcheck import question_phrases as phrases
 from duckcheck.case import Case, case
 
 DIMENSIONS = 64
@@ -103,20 +104,20 @@ def _first_word(column: str, words) -> str:
 
 _RULES = [
     (
-        f"{_any('q', questions.PERSON_TERMS)} AND ({_any('q', questions.SKILL_TERMS)} OR {_matches('q', questions.SKILL_PATTERNS)})",
+        f"{_any('q', phrases.PERSON_TERMS)} AND ({_any('q', phrases.SKILL_TERMS)} OR {_matches('q', phrases.SKILL_PATTERNS)})",
         "skill_lookup", 0.96, True,
     ),
-    *[(_any("q", terms), route, sure, False) for route, sure, terms in questions.REPORT_ROUTES],
+    *[(_any("q", terms), route, sure, False) for route, sure, terms in phrases.REPORT_ROUTES],
     (
-        f"{_any('q', questions.GENERIC_SKILL_TERMS)} OR {_matches('q', questions.EXPERIENCE_PATTERNS)}",
+        f"{_any('q', phrases.GENERIC_SKILL_TERMS)} OR {_matches('q', phrases.EXPERIENCE_PATTERNS)}",
         "skill_lookup", 0.88, True,
     ),
-    (_any("q", questions.PROFILE_TERMS), "profile_search", 0.93, True),
-    (_any("q", questions.DOCUMENT_TERMS), "document_search", 0.95, True),
+    (_any("q", phrases.PROFILE_TERMS), "profile_search", 0.93, True),
+    (_any("q", phrases.DOCUMENT_TERMS), "document_search", 0.95, True),
     ("TRUE", "unknown", 0.25, True),
 ]
-_FEWER = _capture(questions.FEWER_PROJECTS_PATTERNS)
-_NONE = _any("q", questions.NO_PROJECT_TERMS)
+_FEWER = _capture(phrases.FEWER_PROJECTS_PATTERNS)
+_NONE = _any("q", phrases.NO_PROJECT_TERMS)
 ROUTES_SQL = f"""
 SELECT question_id, question, route, confidence,
        CASE WHEN filtered THEN skill_query END AS skill_query, CASE WHEN filtered THEN availability END AS availability,
@@ -125,12 +126,12 @@ SELECT question_id, question, route, confidence,
 FROM (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _, _ in _RULES)} END AS route,
              CAST(CASE {' '.join(f"WHEN {c} THEN {s}" for c, _, s, _ in _RULES)} END AS DOUBLE) AS confidence,
              CASE {' '.join(f"WHEN {c} THEN {f}" for c, _, _, f in _RULES)} END AS filtered,
-             {_capture(questions.SKILL_QUERY_PATTERNS)} AS skill_query,
-             CASE WHEN {_any('q', questions.NEXT_MONTH_TERMS)} THEN 'next_month'
-                  WHEN {_any('q', questions.ON_BENCH_TERMS)} THEN 'bench' END AS availability,
+             {_capture(phrases.SKILL_QUERY_PATTERNS)} AS skill_query,
+             CASE WHEN {_any('q', phrases.NEXT_MONTH_TERMS)} THEN 'next_month'
+                  WHEN {_any('q', phrases.ON_BENCH_TERMS)} THEN 'bench' END AS availability,
              CASE WHEN {_FEWER} IS NOT NULL THEN 'lt' WHEN {_NONE} THEN 'eq' END AS operator,
              CASE WHEN {_FEWER} IS NOT NULL THEN CAST({_FEWER} AS BIGINT) WHEN {_NONE} THEN 0 END AS value,
-             {_capture(questions.GROUP_PATTERNS)} AS grp
+             {_capture(phrases.GROUP_PATTERNS)} AS grp
       FROM (SELECT question_id, question, lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS q FROM questions))"""
 
 _STOP = ", ".join(
@@ -334,8 +335,8 @@ CASES: dict[str, Case] = {
                array_to_string(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(question, '\\s+', ' ', 'g')), ' '),
                                lambda w: lower(trim(w, '?,.!:;()[]{{}}'))), lambda w: length(w) > 2 AND w NOT IN ({_STOP})), '|') AS terms,
                CASE WHEN contains(question, '13/02/2026') THEN '2026-07-01|2026-02-13' ELSE '' END AS dates,
-               {_first_word('lower(question)', questions.EXPERIENCE_KEYWORDS)} AS experience_keyword,
-               {_first_word('lower(question)', questions.SKILL_KEYWORDS)} AS skill_keyword,
+               {_first_word('lower(question)', phrases.EXPERIENCE_KEYWORDS)} AS experience_keyword,
+               {_first_word('lower(question)', phrases.SKILL_KEYWORDS)} AS skill_keyword,
                CASE WHEN contains(lower(question), 'expert') THEN 'expert'
                     WHEN contains(lower(question), 'advanced') THEN 'advanced|expert'
                     WHEN contains(lower(question), 'intermediate') THEN 'intermediate|advanced|expert'
