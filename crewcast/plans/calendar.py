@@ -15,6 +15,7 @@ from crewcast.operators.assignments import (
     has_week_bit,
     person_directory,
 )
+from crewcast.operators.numbering import number_rows
 from crewcast.operators.weekly import resource_weekly_leave, resource_weekly_time
 from crewcast.sources.master import MasterData
 
@@ -107,6 +108,16 @@ def consultant_calendar(data: MasterData, as_of: str | date) -> DataFrame:
     )
 
 
+def calendar_positions(calendar: DataFrame) -> DataFrame:
+    """The calendar with each row's place, from 1, in the order of `sorted_calendar` (equal rows by Resource_Id).
+
+    Numbered by ranges, over many tasks. Runs jobs while it is built.
+    """
+    order = {"_all": F.lit(0), "_no_group": F.col("Group").isNull(), "_no_name": F.col("Consultant_Name").isNull()}
+    ties = ["Group", "_no_name", "Consultant_Name", "WeekStart", "Resource_Id"]
+    return number_rows(calendar.withColumns(order), ["_all"], "_no_group", "position", ties).drop(*order)
+
+
 def sorted_calendar(calendar: DataFrame) -> DataFrame:
     return calendar.orderBy(
         F.col("Group").asc_nulls_last(), F.col("Consultant_Name").asc_nulls_last(), "WeekStart"
