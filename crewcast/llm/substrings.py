@@ -3,12 +3,14 @@
 A window is 50 consecutive words. A word goes when a window that covers it also starts in a
 document with a smaller id. Windows meet by an anchor: the smallest hash among the window's
 eight-word runs, so equal windows always have equal anchors, and consecutive windows mostly share
-one. Only anchors of two or more documents go on. Runs of windows with such an anchor are cut out
-as segments, equal segments are merged with their smallest document, and all segments of an
-anchor meet in one shard. There each shard's FM-index takes the segments as streamed documents
+one. Around an anchor, every window that holds it also holds the 21 words before it or the 21
+words behind it. So each anchor gives two keys, the hashes of the 29 words on either side, and
+only windows with a key of two or more documents go on. Runs of these windows with one anchor are
+cut out as segments, equal segments are merged with their smallest document, and all segments of
+an anchor meet in one shard. There each shard's FM-index takes the segments as streamed documents
 and reports the intervals whose matches reach 50 words.
 
-An anchor that lies in very many documents (a passage that a third of all rows share) is first
+A key that lies in very many documents (a passage that a third of all rows share) is first
 tested window by window: only windows whose hash occurs in two documents stay in its segments, so
 that the ever-different surroundings of the passage never gather in one place. The hashes choose
 where to look; the index compares the words.
@@ -29,37 +31,91 @@ from crewcast.llm.words import WordHashes, binary_column, rolling, slices
 from crewcast.sources.shared_storage import fresh_path, written
 
 WINDOW, RUN = 50, 8
-#: Documents of an anchor from which its windows are tested one by one.
+#: Words on one side of a run that any window with the run holds on one side at least.
+SIDE = (WINDOW - RUN) // 2
+#: Documents of a key from which its windows are tested one by one.
 CROWDED = 500
 #: Windows of a segment at most; longer runs are cut.
 SEGMENT_WINDOWS = 64
 #: Words of an index; whole anchors are put together up to it.
 SHARD_WORDS = 400_000
 
+_BASE = 0x9E3779B97F4A7C15
 
-def _anchors_of(values: np.ndarray) -> np.ndarray:
-    """The anchor of each window, as int64."""
-    runs = rolling(values, RUN)
-    per_window = WINDOW - RUN + 1
-    if len(runs) < per_window:
-        return np.empty(0, np.int64)
-    # Minima of doubling spans: the last step overlaps to give exactly per_window.
-    width = 1
-    while 2 * width <= per_window:
-        runs = np.minimum(runs[:-width], runs[width:])
-        width *= 2
-    if width < per_window:
-        runs = np.minimum(runs[: len(runs) - (per_window - width)], runs[per_window - width :])
-    return runs.view(np.int64)
 
+def _extreme(values: np.ndarray, width: int, op) -> np.ndarray:
+    """Minima or maxima of each `width` neighbours; the last of the doubling steps overlaps."""
+    reached = 1
+    while 2 * reached <= width:
+        values = op(values[:-reached], values[reached:])
+        reached *= 2
+    return op(values[: len(values) - (width - reached)], values[width - reached :]) if reached < width else values
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse, modulo 2**64, kept for the longest text so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        if count > len(self.up):
+            size = max(count, 2 * len(self.up))
+            steps = (np.full(size, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+            self.up, self.down = (np.cumprod(s) for s in steps)
+        return self.up[:count], self.down[:count]
 
-def _windows_of(values: np.ndarray) -> np.ndarray:
-    """A hash of each window: a polynomial over its words, modulo 2**64."""
-    count = len(values) - WINDOW + 1
-    total = np.zeros(max(count, 0), np.uint64)
-    for n in range(WINDOW if count > 0 else 0):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + values[n : n + count]
-    return total.view(np.int64)
+
+_POWERS = _Powers()
+
+
+def _span_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each `width` consecutive words: differences of one running polynomial, modulo 2**64."""
+    count = len(values) - width + 1
+    if count <= 0:
+        return np.empty(0, np.int64)
+    up, down = _POWERS.of(len(values))
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up)))
+    # Divided by the power of its place, so that equal spans agree wherever they stand.
+    return ((running[width:] - running[:-width]) * down[:count]).view(np.int64)
+
+
+class _Places:
+    """Where the windows of a text have their anchors, and the keys at these places."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.runs = rolling(values, RUN)
+        per_window = WINDOW - RUN + 1
+        if len(self.runs) < per_window:
+            self.anchors = np.empty(0, np.uint64)
+            self.at = np.empty(0, np.int64)
+            return
+        self.anchors = _extreme(self.runs, per_window, np.minimum)
+        # A run is an anchor where it equals the largest anchor of the windows that hold it.
+        padding = np.zeros(per_window - 1, np.uint64)
+        largest = _extreme(np.concatenate((padding, self.anchors, padding)), per_window, np.maximum)
+        self.at = np.flatnonzero(largest == self.runs)
+        spans = _span_hashes(values, RUN + SIDE)
+        # Each place has one side at least: a window that holds it has 42 more words. A text's first
+        # and last places have only one, which stands for both.
+        before, after = self.at >= SIDE, self.at < len(spans)
+        first, last = np.maximum(self.at - SIDE, 0), np.minimum(self.at, len(spans) - 1)
+        self.before = spans[np.where(before, first, last)]
+        self.after = spans[np.where(after, last, first)]
+
+    def keys(self) -> np.ndarray:
+        if not len(self.at):
+            return np.empty(0, np.int64)
+        return np.unique(np.concatenate((self.before, self.after)))
+
+    def windows_with(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each window has an anchor with one of the keys."""
+        if not len(self.at):
+            return np.zeros(len(self.anchors), bool)
+        good = self.at[np.isin(self.before, keys) | np.isin(self.after, keys)]
+        chosen = np.full(len(self.runs), np.iinfo(np.uint64).max, np.uint64)
+        chosen[good] = self.runs[good]
+        return (_extreme(chosen, WINDOW - RUN + 1, np.minimum) == self.anchors) & (len(good) > 0)
 
 
 def _anchor_rows(batches):
@@ -67,7 +123,7 @@ def _anchor_rows(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
             ids = batch.column(0).to_pylist()
-            found = [np.unique(_anchors_of(hashes.of((t or b"").split()))) for t in binary_column(batch, "text")]
+            found = [_Places(hashes.of((t or b"").split())).keys() for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(found)),
@@ -78,14 +134,14 @@ def _anchor_rows(batches):
 
 
 def _window_rows(batches):
-    """Hashes of the windows of crowded anchors."""
+    """Hashes of the windows of crowded keys."""
     hashes = WordHashes()
     for whole in batches:
         for batch in slices(whole, "text"):
             for doc_id, text, crowded in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), batch.column(2), strict=True):
                 values = hashes.of(text.split())
-                here = np.isin(_anchors_of(values), crowded.values.to_numpy())
-                rows = np.unique(_windows_of(values)[here])
+                here = _Places(values).windows_with(crowded.values.to_numpy())
+                rows = np.unique(_span_hashes(values, WINDOW)[here])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows), pa.array(np.full(len(rows), doc_id, np.int64))], names=["hash", "doc_id"]
                 )
@@ -113,10 +169,11 @@ def _segment_rows(batches):
             ):
                 words = text.split()
                 values = hashes.of(words)
-                anchors = _anchors_of(values)
-                kept = np.isin(anchors, plain.values.to_numpy()) if plain.is_valid else np.zeros(len(anchors), bool)
+                places = _Places(values)
+                anchors = places.anchors.view(np.int64)
+                kept = places.windows_with(plain.values.to_numpy()) if plain.is_valid else np.zeros(len(anchors), bool)
                 if windows.is_valid:
-                    kept |= np.isin(_windows_of(values), windows.values.to_numpy())
+                    kept |= np.isin(_span_hashes(values, WINDOW), windows.values.to_numpy())
                 for first, last in _cuts(anchors, kept):
                     sequence = b" ".join(words[first : last + WINDOW])
                     rows.append((int(anchors[first]), xxhash.xxh3_128_digest(sequence), doc_id, row_key, first, last - first + WINDOW, sequence))
@@ -156,11 +213,13 @@ def _search(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _shards(batches):
-    """Segments in the order of their anchors -> spans; an index holds whole anchors."""
+    """Segments in the order of their anchors and hashes -> spans; an index holds whole anchors."""
     block, size = [], 0
     for whole in batches:
         for batch in slices(whole, "sequence"):
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_column(batch, "sequence"), batch.column(3).to_pylist(), strict=True):
+                if block and row[:2] == block[-1][:2]:
+                    continue  # the same segment again in its document
                 if size >= SHARD_WORDS and row[0] != block[-1][0]:
                     yield _search(block)
                     block, size = [], 0
@@ -182,17 +241,19 @@ def _keep(words: list[bytes], spans: list[dict] | None) -> list[bytes]:
 
 
 def _digest(batches):
+    """doc_id, row_key, text (and spans) -> the digest of the words that stay."""
     for whole in batches:
         for batch in slices(whole, "text"):
             rows = []
-            for text, spans in zip(binary_column(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            spans = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for text, own in zip(binary_column(batch, "text"), spans, strict=True):
                 words = (text or b"").split()
-                kept = _keep(words, spans)
+                kept = _keep(words, own)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+                [batch.column(0), batch.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
+                names=["doc_id", "row_key", "n_words", "n_removed", "kept_sha256"],
             )
 
 
@@ -231,9 +292,10 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     anchors = written(texts.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint"), fresh_path(spark, "anchors"))
     shared = written(_of_two_documents(anchors, "anchor"), fresh_path(spark, "shared-anchors"))
-    plain = _per_document(anchors, shared.filter(F.col("docs") <= CROWDED), "anchor", "plain")
-    crowded = _per_document(anchors, shared.filter(F.col("docs") > CROWDED), "anchor", "crowded")
-    lists = plain.join(crowded, "doc_id", "full_outer")
+    known = anchors.join(shared.select("anchor", (F.col("docs") > CROWDED).alias("_crowded")), "anchor")
+    plain, crowded = (F.collect_set(F.when(test, F.col("anchor"))) for test in (~F.col("_crowded"), F.col("_crowded")))
+    lists = known.groupBy("doc_id").agg(plain.alias("plain"), crowded.alias("crowded"))
+    lists = lists.select("doc_id", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("plain", "crowded")])
     rows = written(
         texts.select("doc_id", F.xxhash64("text").alias("row_key"), "text").join(lists.hint("merge"), "doc_id"),
         fresh_path(spark, "searched"),
@@ -253,19 +315,24 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         fresh_path(spark, "segments"),
     )
-    merged = written(
-        segments.groupBy("anchor", "segment", "sequence").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")),
-        fresh_path(spark, "merged"),
+    # Equal segments are merged by their hashes; texts go on only where an anchor has segments of
+    # several first documents, one text of each.
+    owners = written(
+        segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")),
+        fresh_path(spark, "owners"),
     )
+    several = owners.groupBy("anchor").agg(F.min("owner").alias("_least"), F.max("owner").alias("_most")).filter("_least < _most")
+    indexed = owners.join(several.select("anchor"), "anchor", "left_semi").select("anchor", "segment", F.col("owner").alias("doc_id"))
     own = written(
-        merged.select("anchor", "segment", "sequence", "owner")
+        segments.select("anchor", "segment", "sequence", "doc_id")
+        .join(indexed.hint("merge"), ["anchor", "segment", "doc_id"], "left_semi")
+        .select("anchor", "segment", "sequence", "doc_id")
         .repartition("anchor")
-        .sortWithinPartitions("anchor")
+        .sortWithinPartitions("anchor", "segment")
         .mapInArrow(_shards, "anchor bigint, segment binary, span_first bigint, span_last bigint"),
         fresh_path(spark, "spans"),
     )
     # The first document of a segment loses what the index found; all others have it from the first.
-    owners = merged.select("anchor", "segment", "owner", "other")
     places = segments.select("anchor", "segment", "doc_id", "row_key", "first", "words")
     copied = places.join(owners.filter("owner < other").select("anchor", "segment", "owner"), ["anchor", "segment"]).filter("doc_id > owner")
     copied = copied.select("doc_id", "row_key", "first", (F.col("first") + F.col("words") - 1).alias("last"))
@@ -281,13 +348,24 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row; null texts count as empty."""
-    _, spans = repeated_passages(docs)
-    return (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
-        .join(spans.hint("merge"), ["doc_id", "row_key"], "left")
-        .select("doc_id", "text", "spans")
-        .mapInArrow(_digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    """doc_id, n_words, n_removed, kept_sha256 for every row; null texts count as empty.
+
+    Every text is digested whole where it lies; only the texts that lose words are moved.
+    Repeated rows of one id are each returned; an empty table gives an empty table.
+    """
+    searched, spans = repeated_passages(docs)
+    schema = "doc_id bigint, row_key bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    whole = rows.mapInArrow(_digest, schema)
+    changed = (
+        searched.dropDuplicates(["doc_id", "row_key"])
+        .join(spans, ["doc_id", "row_key"])
+        .select("doc_id", "row_key", "text", "spans")
+        .mapInArrow(_digest, schema)
+        .select("doc_id", "row_key", F.col("n_removed").alias("_removed"), F.col("kept_sha256").alias("_sha256"))
+    )
+    return whole.join(changed.hint("merge"), ["doc_id", "row_key"], "left").select(
+        "doc_id", "n_words", F.coalesce("_removed", "n_removed").alias("n_removed"), F.coalesce("_sha256", "kept_sha256").alias("kept_sha256")
     )
 
 
