@@ -1,8 +1,9 @@
 """Batch retrieval: a table of queries against a table of documents.
 
-Documents are never moved or copied to meet queries. The queries pass the driver in blocks of
-bounded rows and bytes; each block travels to all tasks, every document is scored where it lies,
-and only the best rows per task and query are shuffled. With more than one block each block's
+Documents are not moved or copied to meet queries; only a table of fewer files than cores is dealt
+out first. The queries pass the driver in blocks of bounded rows and bytes; each block travels to
+all tasks, every document is scored where it lies, and only the best rows per task and query are
+shuffled. With more than one block each block's
 result is written to shared storage before the next one starts, so neither the driver nor a task
 ever holds more than one block. A table of any size takes the same way.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from crewcast.functions.numbers import round_binary
 from crewcast.functions.text import simple_name_key, strip, whitespace_words
 from crewcast.operators.filters import equality_filter
-from crewcast.operators.spreading import spread
+from crewcast.operators.spreading import spread_few
 from crewcast.sources.shared_storage import fresh_path
 
 try:  # finds all words in one pass over a text; without it each word is searched by itself
@@ -206,7 +207,7 @@ def _score_words(texts: DataFrame, rows: list[Row], top_k: int | None, schema: T
                 yield from best.frames()
         yield from best.frames()
 
-    return spread(texts).mapInPandas(score, schema)
+    return spread_few(texts).mapInPandas(score, schema)
 
 
 def keyword_search(
@@ -286,7 +287,7 @@ def _score_vectors(
             _add_similarities(best, units, batch)
         yield from best.frames()
 
-    return spread(vectors).mapInPandas(nearest, schema)
+    return spread_few(vectors).mapInPandas(nearest, schema)
 
 
 def hybrid_search(

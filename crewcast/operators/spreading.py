@@ -12,3 +12,13 @@ def spread(df: DataFrame) -> DataFrame:
     would keep most cores idle.
     """
     return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def spread_few(df: DataFrame) -> DataFrame:
+    """`spread` for tables of fewer files than there are cores; larger tables stay where they lie.
+
+    A table of few files is small, and reading it alone would keep cores idle; moving a large one
+    would cost more than it brings. Rows are the same either way.
+    """
+    files = len(df.inputFiles())
+    return df if files >= df.sparkSession.sparkContext.defaultParallelism else spread(df)

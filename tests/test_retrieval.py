@@ -151,3 +151,16 @@ def test_hybrid_needs_no_vector(spark):
     asked = spark.createDataFrame([("q", "sql spark", [1.0, 0.0])], "query_id string, query string, query_vector array<float>")
     found = retrieval.hybrid_search(docs, asked, dimensions=2).orderBy("rank").collect()
     assert [(r.id, r.score) for r in found] == [("a", round(1 / 62 + 1 / 61, 6)), ("b", round(1 / 61, 6))]
+
+
+def test_documents_of_many_files_stay_in_place(spark, tmp_path):
+    rows = [(f"d{n}", "", f"word{n % 7} text", "", "x", [float(n % 5), 1.0]) for n in range(64)]
+    schema = "id string, title string, content string, consultant_name string, source_type string, content_vector array<float>"
+    spark.createDataFrame(rows, schema).repartition(16).write.parquet(str(tmp_path / "docs"))
+    documents = spark.read.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([("q", "word3", [1.0, 0.0])], "query_id string, query string, query_vector array<float>")
+    for found in (retrieval.keyword_search(documents, queries, top_k=3), retrieval.vector_search(documents, queries, dimensions=2)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("MapInPandas") :]
+        assert "Exchange" not in below and "FileScan" in below
+    assert [r.id for r in retrieval.keyword_search(documents, queries, top_k=3).orderBy("rank").collect()] == ["d10", "d17", "d24"]
