@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewcast.llm.fm_index import FmIndex, repeated_spans
-from crewcast.llm.words import WordHashes, binary_column, rolling, slices
+from crewcast.llm.words import WordHashes, binary_column, mixed, slices
 from crewcast.sources.shared_storage import fresh_path, written
 
 WINDOW, RUN = 50, 8
@@ -84,7 +84,7 @@ class _Places:
     """Where the windows of a text have their anchors, and the keys at these places."""
 
     def __init__(self, values: np.ndarray) -> None:
-        self.runs = rolling(values, RUN)
+        self.runs = mixed(_span_hashes(values, RUN).view(np.uint64))
         per_window = WINDOW - RUN + 1
         if len(self.runs) < per_window:
             self.anchors = np.empty(0, np.uint64)
