@@ -82,7 +82,8 @@ def _casefolds() -> tuple[dict[str, str], dict[str, str]]:
 
 def _replace_characters(text: Column, single: dict[str, str], several: dict[str, str]) -> Column:
     """Each character by its replacement; the longer ones only in texts that hold such a character."""
-    expansions = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # One parsed expression: hundreds of single literals would be built one by one on the driver.
+    expansions = F.expr("map(" + ", ".join(f"'{x}'" for pair in several.items() for x in pair) + ")")
     expanded = F.array_join(
         F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(expansions, ch), ch)),
         "",
@@ -91,10 +92,13 @@ def _replace_characters(text: Column, single: dict[str, str], several: dict[str,
     return F.translate(F.when(has_several, expanded).otherwise(text), "".join(single), "".join(single.values()))
 
 
+# ASCII, signs of Latin-1 and general punctuation (dashes, quotes): folding them is lowering them.
+_PLAIN = r"\A[\x00-\xb4\xb6-\xbf\u2000-\u206f]*\z"
+
+
 def casefold(col: Column) -> Column:
     """Caseless comparison form: full Unicode case folding, character by character."""
-    ascii_only = col.rlike(r"\A[\x00-\x7f]*\z")
-    return F.when(ascii_only, F.lower(col)).otherwise(_replace_characters(col, *_casefolds()))
+    return F.when(col.rlike(_PLAIN), F.lower(col)).otherwise(_replace_characters(col, *_casefolds()))
 
 
 def simple_name_key(col: Column) -> Column:

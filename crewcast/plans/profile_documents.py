@@ -136,14 +136,24 @@ def knowledge_lines(df: DataFrame, name: str, category: str | None = None) -> Da
     return first_of_each(_lines(known_rows(df), "EmployeeName", _with_details(F.col(name), *details)))
 
 
+# Label and column of each line of an experience.
+EXPERIENCE_LABELS = (
+    ("Company", "CompanyName"), ("Customer", "CustomerName"), ("Industry", "Industry"),
+    ("Period", "Period"), ("Duration in months", "Duration in months"),
+    ("Project title", "Project title"), ("Description", "Project"),
+    ("Technologies", "All technologies"),
+)
+
+
+def _kept_columns(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns that the sections read, of those there are; written."""
+    wanted = dict.fromkeys(("_row_id", "EmployeeName", "Knowledge_Level", *columns))
+    kept = rows.select(*[f"`{c}`" for c in wanted if c in rows.columns])
+    return written(kept, fresh_path(rows.sparkSession, "profile-table"))
+
+
 def experience_lines(df: DataFrame) -> DataFrame:
-    labels = (
-        ("Company", "CompanyName"), ("Customer", "CustomerName"), ("Industry", "Industry"),
-        ("Period", "Period"), ("Duration in months", "Duration in months"),
-        ("Project title", "Project title"), ("Description", "Project"),
-        ("Technologies", "All technologies"),
-    )
-    parts = [labelled(label, F.col(column)) for label, column in labels]
+    parts = [labelled(label, F.col(column)) for label, column in EXPERIENCE_LABELS]
     return _lines(current_rows(df), "EmployeeName", F.concat_ws("\n", *parts))
 
 
@@ -190,29 +200,39 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     """
     people = _people(tables.employees)
     people = written(people, fresh_path(people.sparkSession, "profile-people"))
+    # Lines and skills both read these, so each table is read and filtered once.
+    technologies, technical, business = (
+        _kept_columns(known_rows(table), columns)
+        for table, columns in (
+            (tables.technologies, ("TechnologyName", "Vendor", "Type")),
+            (tables.technical_expertise, ("TechnicalExpertiseName",)),
+            (tables.business_expertise, ("BusinessSkill", "Category")),
+        )
+    )
+    experience = _kept_columns(current_rows(tables.experience), (*[c for _, c in EXPERIENCE_LABELS], *EXPERIENCE_TECHNOLOGIES))
     # section → (separator between lines, lines, skills)
     sections: dict[str, tuple[str, DataFrame, DataFrame | None]] = {
         "Overview": ("\n", overview_lines(people), None),
         "Short profile": ("\n\n", short_profile_lines(tables.short_profiles), None),
         "Technologies": (
             "\n",
-            technology_lines(tables.technologies),
-            knowledge_skills(tables.technologies, "TechnologyName"),
+            technology_lines(technologies),
+            knowledge_skills(technologies, "TechnologyName"),
         ),
         "Technical expertise": (
             "\n",
-            knowledge_lines(tables.technical_expertise, "TechnicalExpertiseName"),
-            knowledge_skills(tables.technical_expertise, "TechnicalExpertiseName"),
+            knowledge_lines(technical, "TechnicalExpertiseName"),
+            knowledge_skills(technical, "TechnicalExpertiseName"),
         ),
         "Business expertise": (
             "\n",
-            knowledge_lines(tables.business_expertise, "BusinessSkill", "Category"),
-            knowledge_skills(tables.business_expertise, "BusinessSkill"),
+            knowledge_lines(business, "BusinessSkill", "Category"),
+            knowledge_skills(business, "BusinessSkill"),
         ),
         "Professional experience": (
             "\n\n",
-            experience_lines(tables.experience),
-            experience_skills(tables.experience),
+            experience_lines(experience),
+            experience_skills(experience),
         ),
         "Academic qualifications": (
             "\n",
@@ -252,8 +272,7 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     pieces = reduce(DataFrame.unionByName, lines).join(
         people.select("_person", "consultant_name"), "_person"
     )
-    # Counting, offsets and chunks all read the pieces, so they are written once. Tables with
-    # skills are read a second time for these.
+    # Counting, offsets and chunks all read the pieces, so they are written once.
     pieces = written(pieces, fresh_path(pieces.sparkSession, "profile-pieces"))
     # Every piece starts with its section's separator; the header adds what is missing to an
     # empty line between header and first line.
