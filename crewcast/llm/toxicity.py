@@ -9,15 +9,22 @@ Score: a text sums the log-likelihood ratios of the model's words it holds, and
 fitted on the training rows turns the sum into a probability. The words are selected among the
 restored words of the labelled training rows: LIFT times as frequent in toxic texts, with a
 log-likelihood statistic of at least SIGNIFICANCE. Equal texts count once. Everything the model
-gathers is aggregated by Spark; the driver gets the counts of all distinct n-grams (12 bytes each,
-so they grow with the corpus's spellings), at most MOST_WORDS words and at most SUMS distinct sums.
+gathers is aggregated by Spark; the driver gets the counts of all distinct n-grams (16 bytes each,
+so they grow with the corpus's spellings), the selected words and at most SUMS distinct sums.
+
+Skeletons: a word's letters as classes of what look-alikes confuse, equal neighbours once. The
+restoration of a token holds a word only if the token's skeleton holds the word's, so texts are
+scored by decoding only tokens whose skeleton holds one of the model's words. A mark that may stand
+for a letter or for none is left out of both, together with the letters it may stand for.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +37,6 @@ from crewcast.sources.shared_storage import fresh_path, written
 
 ORDER = 4
 SIGNIFICANCE, LIFT, LEAST_TEXTS = 20.0, 10.0, 4
-#: Words of the model: those of the largest statistic.
-MOST_WORDS = 5000
 #: A sum counts up to CEILING in steps of 0.1, so the curve is fitted to SUMS points at most.
 CEILING = 20.0
 SUMS = int(CEILING * 10) + 1
@@ -56,8 +61,8 @@ _WIDE_EDGE = _EDGE + "%&$*#|<>+-=_~^@/\\0123456789"
 #: Words taken apart: single characters, or pieces of one or two, with any white space between.
 _SPACED = tuple(re.compile(rf"(?<!\S)\S{piece}(?:\s+\S{piece}){{2,}}(?!\S)") for piece in ("", "{1,2}"))
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
-#: Look-alikes and separators, and doubled letters: what has more than one path.
-_DISGUISE = re.compile(r"[0-9@$!|+€£¢(*#._~'`^,:;/\\-]")
+#: What is no letter, and doubled letters: what has more than the plain path.
+_DISGUISE = re.compile(r"[\W\d_]")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 
 
@@ -118,7 +123,7 @@ def character_counts(docs: DataFrame) -> Grams:
         .agg(F.count("*").alias("n"))
     )
     grams = words.mapInArrow(_gram_rows, "slot bigint, n double").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = written(grams.select("slot", F.col("n").cast("float").alias("n")), fresh_path(spark, "grams")).toArrow()
+    rows = written(grams.select("slot", F.col("n").cast("double").alias("n")), fresh_path(spark, "grams")).toArrow()
     keys = rows.column("slot").to_numpy()
     order = np.argsort(keys)
     return Grams(keys[order], rows.column("n").to_numpy()[order])
@@ -162,8 +167,14 @@ class Spelling:
         settled: list[str] = []
         paths: dict[str, tuple[float, tuple | None]] = {"\0\0\0": (0.0, None)}
         for run in _RUN.finditer(token):
+            choices = _choices(run.group(1), len(run.group(0)))
+            if len(paths) == len(choices) == 1 and choices[0][0] != " ":  # nothing to weigh
+                piece = choices[0][0]
+                settled.append(piece)
+                paths = {(next(iter(paths)) + piece)[-3:]: (0.0, None)}
+                continue
             after: dict[str, tuple[float, tuple | None]] = {}
-            for piece, cost in _choices(run.group(1), len(run.group(0))):
+            for piece, cost in choices:
                 for history, (score, spelled) in paths.items():
                     total, past = score + cost, history
                     if piece == " " and past == "\0\0\0":
@@ -215,6 +226,68 @@ def _choices(char: str, count: int) -> list[tuple[str, float]]:
     return found or [("", _ODD)]
 
 
+def _classes() -> dict[int, str | None]:
+    """Letters that one look-alike may stand for, and the look-alike, by one letter of them."""
+    group: dict[str, str] = {}
+    for letters in LOOKALIKES.values():
+        joined = {c for c, name in group.items() if name in {group.get(x, x) for x in letters}} | set(letters)
+        group.update(dict.fromkeys(joined, min(joined)))
+    marks = {mark: group[letters[0]] for mark, letters in LOOKALIKES.items()}
+    return {ord(c): name for c, name in {**group, **marks}.items()}
+
+
+_CLASS = _classes()
+_AGAIN = re.compile(r"(.)\1+", re.DOTALL)
+#: Marks that stand for a letter or for none, and _CLASS without the letters they may stand for.
+_EITHER = re.compile("[" + re.escape("".join(sorted(set(LOOKALIKES) & set(SEPARATORS)))) + "]")
+_BARE = {c: None if name in {_CLASS[ord(m)] for m in set(LOOKALIKES) & set(SEPARATORS)} else name for c, name in _CLASS.items()}
+
+
+def skeleton(token: str, classes: dict[int, str | None]) -> str:
+    """The classes of the letters a lower-case token may stand for, equal neighbours once."""
+    found = token.translate(classes)
+    return _AGAIN.sub(r"\1", found if found.isalpha() else "".join(filter(str.isalpha, found)))
+
+
+class _Skeletons:
+    """Tells whether the restoration of a token could hold one of the words."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        spelled = [w for w in words if w.isalpha()]  # others are never spelled by the decoder
+        self.full, self.bare = (self._starts(spelled, classes) for classes in (_CLASS, _BARE))
+
+    @staticmethod
+    def _starts(words: list[str], classes: dict[int, str | None]) -> tuple[list[str], dict[str, tuple[str, ...]]]:
+        """Skeletons of less than two classes, and all by their first two classes."""
+        starts: dict[str, set[str]] = {}
+        for found in (skeleton(w, classes) for w in words):
+            starts.setdefault(found[:2], set()).add(found)
+        return [x for x in starts if len(x) < 2], {start: tuple(sorted(found)) for start, found in starts.items()}
+
+    def may_hold(self, token: str) -> bool:
+        classes, (short, starts) = (_BARE, self.bare) if _EITHER.search(token) else (_CLASS, self.full)
+        found = skeleton(token, classes)
+        if any(start in found for start in short):
+            return True
+        for at in range(len(found) - 1):
+            if (words := starts.get(found[at : at + 2])) and found.startswith(words, at):
+                return True
+        return False
+
+
+def _readings(token: str, restore: Callable[[str], Iterable[str]]) -> tuple[str, ...]:
+    """The words a token may be read as: as written without its edges, and restored."""
+    low = (token if token.isascii() else unicodedata.normalize("NFKC", token)).lower()
+    core = low.strip(_EDGE)
+    words = (core, low.strip(_WIDE_EDGE))
+    if core and not core.isdigit():
+        if _DISGUISE.search(core) or _DOUBLED.search(core):
+            words = (*words, *restore(core))
+        if low[0] in "!(":  # a mark, or the first letter
+            words = (*words, *restore(low.rstrip(_EDGE)))
+    return tuple(dict.fromkeys(w for w in words if w))
+
+
 class _Restored(dict):
     """Token as written -> its restored words."""
 
@@ -222,18 +295,13 @@ class _Restored(dict):
         super().__init__()
         self.spelling = spelling
 
+    def restore(self, token: str) -> list[str]:
+        return self.spelling.restore(token).split(" ")
+
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        low = token.lower()
-        core = low.strip(_EDGE)
-        words = (core, low.strip(_WIDE_EDGE))
-        if core and not core.isdigit():
-            if _DISGUISE.search(core) or _DOUBLED.search(core):
-                words = (*words, *self.spelling.restore(core).split(" "))
-            if low[0] in "!(":  # a mark, or the first letter
-                words = (*words, *self.spelling.restore(low.rstrip(_EDGE)).split(" "))
-        value = self[token] = tuple(dict.fromkeys(w for w in words if w))
+        value = self[token] = _readings(token, self.restore)
         return value
 
 
@@ -243,7 +311,7 @@ def restored_words(text: str, cache: _Restored) -> set[str]:
     for words in set(map(cache.__getitem__, text.split())):
         found.update(words)
     for run in _spaced_runs(text):
-        found.update(cache.spelling.restore(run).split(" "))
+        found.update(cache.restore(run))
     found.discard("")
     return found
 
@@ -253,13 +321,18 @@ class _Marked(dict):
 
     def __init__(self, spelling: Spelling, words: dict[str, float]) -> None:
         super().__init__()
-        self.restored, self.words = _Restored(spelling), words
+        self.spelling, self.words, self.skeletons = spelling, words, _Skeletons(words)
+
+    def restore(self, token: str) -> list[str]:
+        """The model's words in the restoration."""
+        if not self.skeletons.may_hold(token):
+            return []
+        return [w for w in self.spelling.restore(token).split(" ") if w in self.words]
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        value = self[token] = tuple(w for w in self.restored[token] if w in self.words)
-        self.restored.pop(token, None)
+        value = self[token] = tuple(w for w in _readings(token, self.restore) if w in self.words)
         return value
 
 
@@ -347,8 +420,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         counts.filter(F.col("bad") >= LEAST_TEXTS)
         .select("word", ratio.alias("ratio"), statistic.alias("statistic"))
         .filter((F.col("ratio") >= math.log(LIFT)) & (F.col("statistic") >= SIGNIFICANCE))
-        .orderBy(F.col("statistic").desc(), "word")
-        .limit(MOST_WORDS)
+        .orderBy("word")
         .collect()
     )
     model = ToxicityModel(uuid.uuid4().hex, table, {r["word"]: r["ratio"] for r in chosen}, 1.0, 0.0)
@@ -403,7 +475,7 @@ def _sum(text: str, cache: _Marked, model: ToxicityModel) -> float:
     for words in set(map(cache.__getitem__, text.split())):
         found.update(words)
     for run in _spaced_runs(text):
-        found.update(w for w in cache.restored.spelling.restore(run).split(" ") if w in model.words)
+        found.update(cache.restore(run))
     return round(min(sum(model.words[w] for w in sorted(found)), CEILING), 1)
 
 

@@ -1,5 +1,6 @@
 """Quality rules and models, toxicity, decontamination and licences."""
 
+import itertools
 import random
 import textwrap
 
@@ -114,6 +115,58 @@ def test_doubled_letters_and_words_taken_apart(docs_of, toxic_tables):
     assert all(found[d].predicted == 0 for d in (2000, 2001, 2002, 2003))
 
 
+def _all_paths(token, spelling):
+    """Every spelling of a token with its probability, by plain enumeration."""
+    runs = [(m.group(1), len(m.group(0))) for m in toxicity._RUN.finditer(token)]
+    for path in itertools.product(*(toxicity._choices(*run) for run in runs)):
+        text = "".join(piece for piece, _ in path)
+        if text.startswith(" ") or "  " in text:
+            continue
+        total = sum(cost for _, cost in path)
+        for word in text.split(" "):
+            padded = "\0\0\0" + word
+            total += sum(spelling.log_probability(padded[n : n + 3], padded[n + 3]) for n in range(len(word)))
+        for before in text.split(" "):
+            total += spelling.log_probability(("\0\0\0" + before)[-3:], "\0")
+        yield total, text
+
+
+def test_decoder_and_skeletons_against_all_paths(docs_of, prose):
+    """The decoder's spelling is a best one, and no spelled word is outside the token's skeleton."""
+    docs = docs_of([(n, " ".join(prose(n, 80) + ["idiot", "silly", "settle"])) for n in range(20)])
+    spelling = toxicity.Spelling(toxicity.character_counts(docs))
+    draw = random.Random(11)
+    tokens = ["".join(draw.choice("aeilost0135!|*.-½²•é") for _ in range(draw.randrange(1, 6))) for _ in range(300)]
+    for token in [*tokens, "1d10t", "i.d.i.o.t", "s3ttl3"]:
+        paths = dict((text, total) for total, text in sorted(_all_paths(token, spelling)))
+        if not paths:  # separators alone
+            continue
+        restored = spelling.restore(token)
+        best = max(paths.values())
+        assert max(paths.get(restored + end, -1e9) for end in ("", " ")) == pytest.approx(best, abs=1e-9), token
+        for text in paths:
+            for word in filter(None, text.split(" ")):
+                assert toxicity._Skeletons([word]).may_hold(token), (token, word)
+
+
+def test_skeletons_change_no_sum(docs_of, toxic_tables):
+    rows, labels = toxic_tables
+    model = toxicity.fit_toxicity(docs_of(rows), labels)
+    marked, restored = toxicity._marked(model), toxicity._Restored(toxicity.Spelling(model.table))
+    assert model.words
+    for _, text in rows:
+        held = toxicity.restored_words(text or "", restored) & set(model.words)
+        assert toxicity._sum(text or "", marked, model) == round(min(sum(model.words[w] for w in sorted(held)), 20.0), 1)
+
+
+def test_odd_marks_and_wide_letters(docs_of, toxic_tables):
+    rows, labels = toxic_tables
+    shapes = ["an i•d•i•o•t here", "an id\u200biot here", "an ｉｄｉｏｔ here", "an idi\u00adot", "z" + "x1|-" * 20_000 + " m0r0n"]
+    found = {r.doc_id: r for r in toxicity.toxicity_scores(docs_of([*rows, *((3000 + k, t) for k, t in enumerate(shapes))]), labels).collect()}
+    assert all(found[3000 + k].predicted == 1 for k in range(len(shapes)))
+    assert all(found[d].predicted == 0 for d in (2000, 2001, 2002, 2003))
+
+
 def test_toxicity_without_labels_or_rows(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.toxicity_scores(docs_of(ODD), none).collect()} == {0.5}
