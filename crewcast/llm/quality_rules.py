@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from crewcast.llm.words import WORD_GAP
 
 BUCKETS = 1 << 14
-#: Labelled texts of the target at most: those of the smallest hash of their id. So few ids are
-#: sent to all tasks.
-MOST_TRUSTED = 40_000
 #: Mean log ratio from which a text is kept.
 LEAST_RATIO = -0.12
 # Fixed values of the base rules.
@@ -47,28 +44,30 @@ def _grams() -> Column:
     )
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(target share / raw share) per bucket, over all documents; counts start at one."""
-    trusted = (
-        labels.filter("quality = 1 and doc_id is not null")
-        .groupBy("doc_id")
-        .agg(F.lit(1).alias("trusted"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(MOST_TRUSTED)
-    )
-    marked = docs.join(F.broadcast(trusted), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(0)))
-    counts = (
-        _arrays(marked, "trusted")
-        .select("trusted", F.explode_outer(_grams()).alias("bucket"))
+def _gram_counts(docs: DataFrame) -> np.ndarray:
+    """Occurrences per bucket over all texts; counts start at one."""
+    rows = (
+        _arrays(docs)
+        .select(F.explode(_grams()).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
-        .filter("bucket is not null")
+        .agg(F.count("*").alias("n"))
         .collect()
     )
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    for row in counts:
-        raw[row["bucket"]] += row["raw"]
-        target[row["bucket"]] += row["target"]
+    counts = np.ones(BUCKETS)
+    for row in rows:
+        counts[row["bucket"]] += row["n"]
+    return counts
+
+
+def gram_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """log(target share / raw share) per bucket, over all documents and all trusted ones.
+
+    Only documents with an id meet the labels; Spark sends the ids to the texts where they are few
+    and shuffles the texts once where they are not.
+    """
+    trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    raw = _gram_counts(docs)
+    target = _gram_counts(docs.filter("doc_id is not null").join(trusted, "doc_id", "left_semi"))
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
@@ -86,7 +85,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null text counts as empty; texts without words fail the base rules and have ratio 0. Rows
     with a null doc_id and repeated rows are judged like any other. Without trusted texts the
-    target is flat and only the base rules decide much. Other columns are ignored. Runs a job
+    target is flat and only the base rules decide much. Other columns are ignored. Runs jobs
     while it is built.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
