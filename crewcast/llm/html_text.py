@@ -4,7 +4,8 @@ A page's tags are read once into a tree of open elements with implied ends (a ne
 an open one, a list item the one before it, a cell, row or table section likewise), and visible
 text is written out as it passes: blocks stand on lines of their own, headings, paragraphs, lists
 and tables apart by a blank line, items carry their bullet or number with indentation by depth,
-and the cells of a table are padded to common columns. Formulas, labels of drawings, text areas
+and the cells of a table are padded to common columns, past the columns and rows that other cells
+span. Formulas, labels of drawings, text areas
 and the options a selection shows count as text. Scripts, styles, templates, comments, hidden
 elements, data lists, descriptions and definitions of drawings, annotations of formulas and what
 stands in for missing media, objects or frames show nothing; all other text between tags does.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +67,10 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE) for name
 _SELECT_END = re.compile(r"</?select(?=[\s/>]|\Z)", re.IGNORECASE)
 #: Levels of lists and quotes that still indent.
 DEEPEST = 16
+#: Cells up to this width are padded to common columns; wider ones stand as they are.
+WIDEST_PAD = 120
+#: Columns and rows a cell spans at most.
+MOST_COLUMNS, MOST_ROWS = 100, 65_534
 
 
 def _width(text: str) -> int:
@@ -140,18 +146,30 @@ class _Flow:
 class _Table:
     def __init__(self) -> None:
         self.rows: list[list[list[str]]] = []
+        self.covered: dict[int, int] = {}  # columns of this row that a cell above covers, and rows left
+        self.below: dict[int, int] = {}
 
-    def cell(self, lines: list[str]) -> None:
+    def row(self) -> None:
+        self.rows.append([])
+        self.covered = self.below
+        self.below = {column: left - 1 for column, left in self.covered.items() if left > 1}
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
         if not self.rows:
-            self.rows.append([])
-        self.rows[-1].append(lines)
+            self.row()
+        row = self.rows[-1]
+        while len(row) in self.covered:
+            row.append([])
+        if rows > 1:
+            self.below.update(dict.fromkeys(range(len(row), len(row) + columns), rows - 1))
+        row += [lines, *([[]] * (columns - 1))]
 
     def layout(self) -> list[str]:
         rows = [row for row in self.rows if any(any(cell) for cell in row)]
         widths = [0] * max((len(r) for r in rows), default=0)
         for row in rows:
             for n, cell in enumerate(row):
-                widths[n] = max(widths[n], max((_width(line) for line in cell), default=0))
+                widths[n] = max(widths[n], max((w for line in cell if (w := _width(line)) <= WIDEST_PAD), default=0))
         found = []
         for row in rows:
             for n in range(max(len(cell) for cell in row)):
@@ -166,7 +184,8 @@ def page_text(page: str) -> str:
     root = _Flow()
     flows, tables = [root], []
     stack: list[tuple[str, bool]] = []  # element, whether it shows its text
-    counts: dict[str, int] = {}  # open elements by name
+    places: dict[str, list[int]] = {}  # where elements of a name stand open on the stack
+    spans: list[tuple[int, int]] = []  # columns and rows of the open cells
     lists: list[list] = []  # kind and next number
     keep = 0  # open <pre>
     chosen: set[int] = set()  # where the options begin that the open selection shows
@@ -177,7 +196,7 @@ def page_text(page: str) -> str:
     def close() -> None:
         nonlocal keep
         name, shown = stack.pop()
-        counts[name] -= 1
+        places[name].pop()
         if not shown:
             return
         flow = flows[-1]
@@ -185,14 +204,15 @@ def page_text(page: str) -> str:
             keep -= 1
         if name in ("select", "option", "mtd", "mtr"):
             flow.space = True
-        if name == "textarea" or name == "text" and counts.get("svg"):
+        if name == "textarea" or name == "text" and places.get("svg"):
             flow.end_line()
         if name in ("td", "th", "caption") and tables and len(flows) > 1:
             lines = flows.pop().done()
             if name == "caption":
+                spans.pop()
                 flows[-1].add_lines(lines)
             else:
-                tables[-1].cell(lines)
+                tables[-1].cell(lines, *spans.pop())
             return
         if name == "table" and tables:
             flow.end_line()
@@ -218,17 +238,15 @@ def page_text(page: str) -> str:
 
     def close_to(names: frozenset[str], stop: frozenset[str]) -> None:
         """Ends the outermost open element of `names` above the nearest of `stop`."""
-        if not any(counts.get(name) for name in names):
-            return
-        cut = None
-        for n in range(len(stack) - 1, -1, -1):
-            if stack[n][0] in stop:
-                break
-            if stack[n][0] in names:
-                cut = n
-        while cut is not None and len(stack) > cut:
+        below = last(stop)
+        cuts = [open_[at] for name in names if (open_ := places.get(name)) and (at := bisect_right(open_, below)) < len(open_)]
+        while cuts and len(stack) > min(cuts):
             close()
 
+    def last(names: frozenset[str]) -> int:
+        """Where the innermost open element of `names` stands; -1 without any."""
+        return max((open_[-1] for name in names if (open_ := places.get(name))), default=-1)
+
     at = 0
     while at < len(page):
         token = _TOKEN.match(page, at)
@@ -241,10 +259,8 @@ def page_text(page: str) -> str:
             continue
         name = name.lower()
         if token.group(1):
-            if counts.get(name):
-                if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "li", "ul", "ol") or not any(
-                    open_ in _BOUNDARY for open_, _ in _above(stack, name)
-                ):
+            if places.get(name):
+                if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "li", "ul", "ol") or last(_BOUNDARY) <= last(frozenset([name])):
                     while stack[-1][0] != name:
                         close()
                     close()
@@ -258,10 +274,10 @@ def page_text(page: str) -> str:
         if name in _IMPLIED_END:
             close_to(*_IMPLIED_END[name])
         shown = shows() and name not in _UNSEEN and not _is_hidden(token.group(3))
-        foreign = counts.get("svg") or counts.get("math")
-        if foreign and any(counts.get(outer) and name in names for outer, names in _UNSEEN_IN.items()):
+        foreign = places.get("svg") or places.get("math")
+        if foreign and any(places.get(outer) and name in names for outer, names in _UNSEEN_IN.items()):
             shown = False
-        if name == "option" and counts.get("select") and token.start() not in chosen:
+        if name == "option" and places.get("select") and token.start() not in chosen:
             shown = False
         if name in _VOID:
             if shown and name == "br":
@@ -276,19 +292,20 @@ def page_text(page: str) -> str:
             if name in ("td", "th", "caption"):
                 if tables:
                     flows.append(_Flow())
+                    spans.append(_spans(token.group(3)))
                 else:
                     flow.end_line()
             elif name == "table":
                 flow.apart()
                 tables.append(_Table())
             elif name == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].row()
             elif name in ("ul", "ol", "menu", "dir"):
                 if lists:
                     flow.end_line()
                 else:
                     flow.apart()
-                lists.append([name, 1])
+                lists.append([name, _number(token.group(3), "start", 1)])
             elif name in ("li", "dd", "blockquote"):
                 if name == "blockquote":
                     flow.apart()
@@ -298,6 +315,7 @@ def page_text(page: str) -> str:
                 if name == "li":
                     marker = "- "
                     if lists and lists[-1][0] == "ol":
+                        lists[-1][1] = _number(token.group(3), "value", lists[-1][1])
                         marker = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
                 flow.prefix.append(" " * (len(marker) or 2))
@@ -309,7 +327,7 @@ def page_text(page: str) -> str:
                 flow.space = True
                 if name == "select":
                     chosen = _shown_options(page, at, token.group(3))
-            elif name == "textarea" or name == "text" and counts.get("svg"):
+            elif name == "textarea" or name == "text" and places.get("svg"):
                 flow.end_line()
             elif name in _APART:
                 flow.apart()
@@ -317,7 +335,7 @@ def page_text(page: str) -> str:
                 flow.end_line()
         # Prefixes are taken off only where they were put on: an unseen element changes no layout.
         stack.append((name, shown))
-        counts[name] = counts.get(name, 0) + 1
+        places.setdefault(name, []).append(len(stack) - 1)
         if name in _RAW:  # only its own end tag ends the text of such an element
             end = _RAW_END[name].search(page, at)
             begin, at = at, end.start() if end else len(page)
@@ -328,11 +346,20 @@ def page_text(page: str) -> str:
     return "\n".join(root.done())
 
 
-def _above(stack: list[tuple[str, bool]], name: str) -> list[tuple[str, bool]]:
-    for n in range(len(stack) - 1, -1, -1):
-        if stack[n][0] == name:
-            return stack[n + 1 :]
-    return []
+def _number(attributes: str, name: str, default: int) -> int:
+    """The whole number of an attribute."""
+    if name in attributes.lower():
+        for found, *values in _ATTRIBUTE.findall(attributes):
+            value = "".join(values).strip()
+            if found.lower() == name and len(value) < 10 and value.removeprefix("-").isdecimal():
+                return int(value)
+    return default
+
+
+def _spans(attributes: str) -> tuple[int, int]:
+    """Columns and rows of a cell; no rows means all that follow."""
+    columns, rows = _number(attributes, "colspan", 1), _number(attributes, "rowspan", 1)
+    return min(max(columns, 1), MOST_COLUMNS), MOST_ROWS if rows == 0 else min(max(rows, 1), MOST_ROWS)
 
 
 def _shown_options(page: str, at: int, attributes: str) -> set[int]:

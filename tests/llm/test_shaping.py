@@ -1,5 +1,6 @@
 """Packing, preference formatting, HTML text and the pipeline."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,6 +151,23 @@ def test_long_and_deep_pages_end():
     assert page_text('<a "' * 20_000) == "" and page_text("<" * 50_000) == "<" * 50_000
 
 
+def test_pages_take_linear_time_and_bounded_room():
+    begun = time.monotonic()
+    assert page_text("<p>a<button>" + "<div>" * 40_000 + "x").split() == ["a", "x"]
+    assert page_text("<table><tr><td>" + "<div>" * 40_000 + "x" + "</p>" * 20_000).split() == ["x"]
+    assert time.monotonic() - begun < 10
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>b" + "<tr><td>a<td>b" * 3000 + "</table>"
+    assert len(page_text(wide)) < 3 * len(wide)
+
+
+def test_spanning_cells_and_numbered_lists():
+    page = "<table><tr><th rowspan=2>k<th colspan='2'>wide<tr><td>b<td>c<tr><td>d<td>e<td>f</table>"
+    assert page_text(page).split("\n") == ["k | wide |", "  | b    | c", "d | e    | f"]
+    page = '<ol start="3"><li>c<li value=9>i<li>j</ol><ol start=x><li>a</ol><ol start=-1><li>m<li>z</ol>'
+    assert [line for line in page_text(page).split("\n") if line] == ["3. c", "9. i", "10. j", "1. a", "-1. m", "0. z"]
+    assert page_text("<table><tr><td colspan=0 rowspan=0>a<td colspan=99999999>b<tr><td>c</table>").startswith("a | b")
+
+
 def test_pages_table(spark):
     rows = [(1, "u", "<p>a", 1), (None, None, None, 2), (2, "u", "", 3), (2, "u", "", 3)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
