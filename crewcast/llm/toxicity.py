@@ -20,6 +20,7 @@ for a letter or for none is left out of both, together with the letters it may s
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -59,7 +60,7 @@ _PLAIN, _SWAP, _DROP, _BREAK, _SHORTEN, _ODD = 0.0, -1.0, -0.5, -3.0, -1.5, -12.
 _EDGE = ".,;:!?\"'()[]{}…»«"
 _WIDE_EDGE = _EDGE + "%&$*#|<>+-=_~^@/\\0123456789"
 #: Words taken apart: single characters, or pieces of one or two, with any white space between.
-_SPACED = tuple(re.compile(rf"(?<!\S)\S{piece}(?:\s+\S{piece}){{2,}}(?!\S)") for piece in ("", "{1,2}"))
+_SPACED = (re.compile(rb"\x01{3,}"), re.compile(rb"[\x01\x02]{3,}"))
 _RUN = re.compile(r"(.)\1*", re.DOTALL)
 #: What is no letter, and doubled letters: what has more than the plain path.
 _DISGUISE = re.compile(r"[\W\d_]")
@@ -205,9 +206,10 @@ def _pieces(path: tuple | None) -> list[str]:
     return found[::-1]
 
 
-def _spaced_runs(text: str) -> set[str]:
+def _spaced_runs(tokens: list[str]) -> set[str]:
     """Runs of words taken apart, in lower case with one blank between the pieces."""
-    return {" ".join(m.group(0).lower().split()) for pattern in _SPACED for m in pattern.finditer(text)}
+    sizes = bytes(map(min, map(len, tokens), itertools.repeat(3)))
+    return {" ".join(tokens[m.start() : m.end()]).lower() for pattern in _SPACED for m in pattern.finditer(sizes)}
 
 
 def _choices(char: str, count: int) -> list[tuple[str, float]]:
@@ -308,9 +310,10 @@ class _Restored(dict):
 def restored_words(text: str, cache: _Restored) -> set[str]:
     """The distinct restored words of a text, those spelled with spaced letters included."""
     found: set[str] = set()
-    for words in set(map(cache.__getitem__, text.split())):
+    tokens = text.split()
+    for words in set(map(cache.__getitem__, tokens)):
         found.update(words)
-    for run in _spaced_runs(text):
+    for run in _spaced_runs(tokens):
         found.update(cache.restore(run))
     found.discard("")
     return found
@@ -332,7 +335,11 @@ class _Marked(dict):
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) > REMEMBERED_WORDS:
             self.clear()
-        value = self[token] = tuple(w for w in _readings(token, self.restore) if w in self.words)
+        core = token.strip(_EDGE).lower()
+        if core.isascii() and core.isalpha() and token[0] not in "!(" and not _DOUBLED.search(core):  # one reading
+            value = self[token] = (core,) if core in self.words else ()
+        else:
+            value = self[token] = tuple(w for w in _readings(token, self.restore) if w in self.words)
         return value
 
 
@@ -361,14 +368,7 @@ def _word_rows(table: Grams):
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = [sorted(restored_words(t or "", cache)) for t in batch.column(1).to_pylist()]
-                sizes = [len(x) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([w for x in found for w in x], pa.string()),
-                        pa.array(np.repeat(batch.column(0).to_numpy(), sizes), pa.int32()),
-                    ],
-                    names=["word", "toxic"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["toxic", "words"])
 
     return rows
 
@@ -405,9 +405,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     prior = math.log((toxic + 1) / (clean + 1))
     if not toxic or not clean:
         return ToxicityModel(uuid.uuid4().hex, table, {}, 1.0, prior)
+    restored = written(rows.select("toxic", "text").mapInArrow(_word_rows(table), "toxic int, words array<string>"), fresh_path(spark, "restored"))
     counts = (
-        rows.select("toxic", "text")
-        .mapInArrow(_word_rows(table), "word string, toxic int")
+        restored.select("toxic", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     )
@@ -425,8 +425,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     )
     model = ToxicityModel(uuid.uuid4().hex, table, {r["word"]: r["ratio"] for r in chosen}, 1.0, 0.0)
     sums = (
-        rows.select("toxic", "text")
-        .mapInArrow(_sum_rows(model), "toxic int, value double")
+        restored.mapInArrow(_sum_rows(model.words), "toxic int, value double")
         .groupBy("value")
         .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
         .toPandas()
@@ -448,13 +447,16 @@ def _curve(values: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[float
     return float(beta[0]), float(beta[1])
 
 
-def _sum_rows(model: ToxicityModel):
+def _weight(words: Iterable[str], weights: dict[str, float]) -> float:
+    """The sum of the weights of the distinct words."""
+    return round(min(sum(weights[w] for w in sorted(words) if w in weights), CEILING), 1)
+
+
+def _sum_rows(weights: dict[str, float]):
     def rows(batches):
-        cache = _marked(model)
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sums = [_sum(t or "", cache, model) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["toxic", "value"])
+        for batch in batches:
+            sums = [_weight(words, weights) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["toxic", "value"])
 
     return rows
 
@@ -472,11 +474,12 @@ def _score_rows(model: ToxicityModel):
 
 def _sum(text: str, cache: _Marked, model: ToxicityModel) -> float:
     found: set[str] = set()
-    for words in set(map(cache.__getitem__, text.split())):
+    tokens = text.split()
+    for words in set(map(cache.__getitem__, tokens)):
         found.update(words)
-    for run in _spaced_runs(text):
+    for run in _spaced_runs(tokens):
         found.update(cache.restore(run))
-    return round(min(sum(model.words[w] for w in sorted(found)), CEILING), 1)
+    return _weight(found, model.words)
 
 
 def _score(text: str, cache: _Marked, model: ToxicityModel) -> float:
