@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from crewcast.operators.observed import observed_write
 from crewcast.operators.quality import assert_unique
 from crewcast.operators.reshape import export_columns
 from crewcast.sources.shared_storage import fresh_path, written
@@ -37,6 +40,18 @@ class ReportStore:
         report.write.mode("overwrite").parquet(path)
         return path
 
+    def save_checked(self, name: str, report: DataFrame, checks: Mapping[str, Column]) -> dict[str, str | None]:
+        """Saves the report and returns its checks, which the same job computes."""
+        return observed_write(report, self.path(name), checks)
+
+    def save_quality(self, rows: list[tuple[str, str, str | None]]) -> None:
+        """Keeps the checks of a run: a few dozen rows of (report, check, value)."""
+        table = self.spark.createDataFrame(rows, "report string, check string, value string")
+        table.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/quality.parquet")
+
+    def load_quality(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/quality.parquet")
+
     def load(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
