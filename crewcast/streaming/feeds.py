@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crewcast.functions.numbers import DAY_HOURS
 
@@ -57,3 +58,23 @@ def run_available(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return result.sparkSession.read.schema(result.schema).parquet(path)
+
+
+# Later than any event; its own window never ends.
+_CLOSING = "9000-01-01 00:00:00"
+
+
+def with_closing_marks(events: DataFrame, folder: str) -> DataFrame:
+    """The stream together with the marks in `folder`, which must be there from its first run on."""
+    spark = events.sparkSession
+    spark.createDataFrame([], events.schema).write.mode("ignore").parquet(folder)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+
+
+def close_stream(spark: SparkSession, schema: StructType, folder: str, time: str) -> None:
+    """Puts a mark that lets the next run write every open window; what arrives later is too late.
+
+    The mark only moves the watermark: its own window stays open for ever and is never written.
+    """
+    cells = [(F.lit(_CLOSING) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*cells).write.mode("append").parquet(folder)
