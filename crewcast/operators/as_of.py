@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewcast.operators.numbering import ROWS_PER_RANGE, join_totals, with_order_ranges
+from crewcast.sources.shared_storage import fresh_path, written
 
 BACKWARD, FORWARD = "backward", "forward"
 
@@ -52,6 +53,8 @@ def as_of_join(
     )
     both = right.select(*quoted, "_time", name, "_row").unionByName(left)
     both = both.withColumns({"_days": days, "_side": F.when(F.col("_row").isNull(), 0).otherwise(1)})
+    # Keys are counted, sampled and dealt from the same rows, so these are put together once.
+    both = written(both, fresh_path(asked.sparkSession, "as-of-rows"))
     ranged = with_order_ranges(both, keys, "_days", "_range", ["_side"], rows_per_range)
 
     in_range = Window.partitionBy(*quoted, "_range").orderBy("_days", "_side").rowsBetween(Window.unboundedPreceding, 0)
