@@ -36,7 +36,7 @@ RRF_CONSTANT = 60
 
 # A block of queries: rows, and bytes of their words or vectors, at most (one query at least).
 BLOCK_ROWS, BLOCK_BYTES = 2_000, 8 << 20
-SCORES_AT_ONCE = 4_000_000
+SCORES_AT_ONCE = 500_000
 
 
 def _check_top_k(top_k: int | None) -> None:
@@ -189,6 +189,20 @@ def _over_blocks(blocks: Iterator[list[Row]], answer: Callable[[list[Row]], Data
     return one.sparkSession.read.schema(one.schema).parquet(path)
 
 
+def _word_frames(
+    batches: Iterator[pd.DataFrame], query_ids: list, term_lists: list[list[str]], top_k: int | None
+) -> Iterator[pd.DataFrame]:
+    """The matching pairs of the batches: all, in frames of bounded size, or the top_k per query at the end."""
+    vocabulary, best = _Vocabulary(term_lists), _Best(query_ids, top_k, minimum=1)
+    for batch in batches:
+        ids, found = batch["id"].to_numpy(), batch["text"].to_numpy()
+        for part in _slices(len(ids), len(query_ids)):
+            best.add(np.stack([vocabulary.scores(t) for t in found[part]]), ids[part])
+            if top_k is None:  # a batch's pairs are never held together
+                yield from best.frames()
+    yield from best.frames()
+
+
 def _score_words(texts: DataFrame, rows: list[Row], top_k: int | None, schema: T.StructType) -> DataFrame:
     """A block of queries goes to every task; a task returns its top_k per query.
 
@@ -198,14 +212,7 @@ def _score_words(texts: DataFrame, rows: list[Row], top_k: int | None, schema: T
     query_ids, term_lists = [r["query_id"] for r in rows], [list(r["terms"] or ()) for r in rows]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, best = _Vocabulary(term_lists), _Best(query_ids, top_k, minimum=1)
-        for batch in batches:
-            ids, found = batch["id"].to_numpy(), batch["text"].to_numpy()
-            for part in _slices(len(ids), len(query_ids)):
-                best.add(np.stack([vocabulary.scores(t) for t in found[part]]), ids[part])
-            if top_k is None:
-                yield from best.frames()
-        yield from best.frames()
+        return _word_frames(batches, query_ids, term_lists, top_k)
 
     return spread_few(texts).mapInPandas(score, schema)
 
