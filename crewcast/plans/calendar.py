@@ -16,6 +16,7 @@ from crewcast.operators.assignments import (
     person_directory,
 )
 from crewcast.operators.numbering import number_rows
+from crewcast.operators.reshape import week_map
 from crewcast.operators.weekly import resource_weekly_leave, resource_weekly_time
 from crewcast.sources.master import MasterData
 
@@ -32,6 +33,10 @@ STATUS_COLOURS = {
     BENCH: "PURPLE",
 }
 
+# What a person's week brings from the hours and from the leave.
+_HOURS = ("Logged_Hours", "Consumed_Days", "Capacity")
+_LEAVE = ("Leave_Hours", "Leave_Info", "Is_Leave")
+
 
 def calendar_status(capacity: Column, is_leave: Column, has_future: Column) -> Column:
     """Leave wins over hours, hours over a future assignment, and nothing at all is bench."""
@@ -54,8 +59,9 @@ def status_colour(status: Column) -> Column:
 def consultant_calendar(data: MasterData, as_of: str | date) -> DataFrame:
     """One row per eligible person and Monday of the as-of date's year.
 
-    People are multiplied by a literal week array; hours and leave arrive as left joins on
-    (Resource_Id, WeekStart) with unique, pre-aggregated right sides. Both are cut to the year's
+    A person's hours and leave are gathered into maps of at most one entry per week of the year
+    and arrive as left joins on Resource_Id; only then are people multiplied by a literal week
+    array, so rows of person and week are neither moved nor sorted. Both are cut to the year's
     weeks first, so the filters reach their scans. Leave of people outside the eligible
     population finds no partner and needs no filter of its own.
     """
@@ -66,14 +72,20 @@ def consultant_calendar(data: MasterData, as_of: str | date) -> DataFrame:
         active_project_counts(eligible, as_of), "Resource_Id", "left"
     )
     weeks = F.sequence(F.lit(year.first_week), F.lit(year.last_week), F.expr("interval 7 days"))
-    person_weeks = people.withColumn("WeekStart", F.explode(weeks))
-    hours = resource_weekly_time(data.time_entries.filter(in_year), eligible)
-    leave = resource_weekly_leave(data.leave.filter(in_year))
+    # Other days than the year's Mondays meet no week, and would only make the maps longer.
+    is_week = F.datediff("WeekStart", F.lit(year.first_week)) % 7 == 0
+    hours = resource_weekly_time(data.time_entries.filter(in_year), eligible).filter(is_week)
+    leave = resource_weekly_leave(data.leave.filter(in_year)).filter(is_week)
+    hours_of = hours.groupBy("Resource_Id").agg(week_map("WeekStart", *_HOURS).alias("_hours"))
+    leave_of = leave.groupBy("Resource_Id").agg(week_map("WeekStart", *_LEAVE).alias("_leave"))
 
     capacity = F.coalesce("Capacity", F.lit(0.0))
     joined = (
-        person_weeks.join(hours, ["Resource_Id", "WeekStart"], "left")
-        .join(leave, ["Resource_Id", "WeekStart"], "left")
+        people.join(hours_of, "Resource_Id", "left")
+        .join(leave_of, "Resource_Id", "left")
+        .withColumn("WeekStart", F.explode(weeks))
+        .withColumns({"_hours": F.try_element_at("_hours", "WeekStart"), "_leave": F.try_element_at("_leave", "WeekStart")})
+        .select("*", *[F.col(f"_hours.{c}") for c in _HOURS], *[F.col(f"_leave.{c}") for c in _LEAVE])
         .select(
             "Resource_Id", "Consultant_Name", "Level", "Group", "Job_Title", "Location",
             "Expected_Availability_Date",

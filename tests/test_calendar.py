@@ -155,3 +155,14 @@ def test_assignment_with_two_people_is_refused(spark):
     people = [assignment("1", "same", "2026-01-01", None), assignment("2", "same", "2026-01-01", None)]
     with pytest.raises(Exception, match="assignment with more than one person: same"):
         consultant_calendar(master(spark, people, [hours("same", "2026-02-02", 8)]), AS_OF).collect()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weeks_are_multiplied_after_the_joins(calendar):
+    lines = plan_of(calendar).splitlines()
+    generate = next(n for n, line in enumerate(lines) if "Generate explode" in line)
+    joins = [n for n, line in enumerate(lines) if "Join" in line]
+    assert joins and min(joins) > generate  # parents come first
