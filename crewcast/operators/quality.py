@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewcast.functions.text import strip
+from crewcast.operators.spreading import spread_by
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,42 +32,34 @@ def assert_unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 def calendar_diagnostics(calendar: DataFrame) -> DataFrame:
     """check, detail, row_count: rows per status, repeated person-weeks, capacity outside 0..1.
 
-    The calendar is aggregated once per person-week; every check reads that result.
+    Every row learns how many rows its person-week has; then all checks are counted per status,
+    on the map side, from one reading of the calendar.
     """
     capacity = F.col("CalendarCapacity")
-    per_week = calendar.groupBy("Resource_Id", "WeekStart", "CalendarStatus").agg(
-        F.count("*").alias("n"),
-        F.count_if((capacity < 0) | (capacity > 1)).alias("outside"),
+    same_week = Window.partitionBy("Resource_Id", "WeekStart")
+    outside = F.coalesce((capacity < 0) | (capacity > 1), F.lit(False)).alias("_outside")
+    per_status = (
+        spread_by(calendar.select("Resource_Id", "WeekStart", "CalendarStatus", outside), "Resource_Id", "WeekStart")
+        .withColumn("_repeated", F.count("*").over(same_week) > 1)
+        .groupBy("CalendarStatus")
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_if("_repeated").alias("repeated"),
+            F.count_if("_outside").alias("outside"),
+        )
     )
-    per_person_week = per_week.groupBy("Resource_Id", "WeekStart").agg(
-        F.sum("n").alias("n"),
-        F.sum("outside").alias("outside"),
-        F.map_from_entries(F.collect_list(F.struct("CalendarStatus", "n"))).alias("statuses"),
-    )
-    checks = F.concat(
-        F.transform(
-            F.map_entries("statuses"),
-            lambda e: F.struct(
-                F.lit("status").alias("check"),
-                e["key"].alias("detail"),
-                e["value"].alias("row_count"),
-            ),
-        ),
-        F.array(
-            F.struct(
-                F.lit("duplicate person-week").alias("check"),
-                F.lit("").alias("detail"),
-                F.when(F.col("n") > 1, F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("row_count"),
-            ),
-            F.struct(
-                F.lit("capacity outside 0-1").alias("check"),
-                F.lit("").alias("detail"),
-                F.col("outside").alias("row_count"),
-            ),
-        ),
+    checks = F.array(
+        *[
+            F.struct(F.lit(check).alias("check"), detail.alias("detail"), F.col(count).alias("row_count"))
+            for check, detail, count in (
+                ("status", F.col("CalendarStatus"), "rows"),
+                ("duplicate person-week", F.lit(""), "repeated"),
+                ("capacity outside 0-1", F.lit(""), "outside"),
+            )
+        ]
     )
     return (
-        per_person_week.select(F.inline(checks))
+        per_status.select(F.inline(checks))
         .groupBy("check", "detail")
         .agg(F.sum("row_count").alias("row_count"))
     )

@@ -166,3 +166,16 @@ def test_weeks_are_multiplied_after_the_joins(calendar):
     generate = next(n for n, line in enumerate(lines) if "Generate explode" in line)
     joins = [n for n, line in enumerate(lines) if "Join" in line]
     assert joins and min(joins) > generate  # parents come first
+
+
+def test_diagnostics_of_weeks_with_several_statuses(spark):
+    rows = [("1", date(2026, 1, 5), s, c) for s, c in (("BENCH", 0.0), ("BOOKED", 1.5), ("BENCH", None))]
+    rows += [("1", date(2026, 1, 12), "odd", -1.0), (None, date(2026, 1, 5), "BENCH", 1.0)]
+    table = spark.createDataFrame(rows, "Resource_Id string, WeekStart date, CalendarStatus string, CalendarCapacity double")
+    found = calendar_diagnostics(table)
+    assert {(r["check"], r["detail"]): r["row_count"] for r in found.collect()} == {
+        ("status", "BENCH"): 3, ("status", "BOOKED"): 1, ("status", "odd"): 1,
+        ("duplicate person-week", ""): 3, ("capacity outside 0-1", ""): 2,
+    }
+    assert "collect_list" not in plan_of(found) and "REPARTITION_BY_NUM" in plan_of(found)
+    assert calendar_diagnostics(table.limit(0)).count() == 0
