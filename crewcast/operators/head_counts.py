@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewcast.operators.numbering import number_rows
+from crewcast.operators.spreading import spread_by
 from crewcast.sources.shared_storage import fresh_path, written
 
 NUMBER, BUCKET, BITS = "_number", "_bucket", "_bits"
@@ -34,14 +35,20 @@ def numbered_keys(rows: DataFrame, key: str, near: Sequence[str] = ()) -> DataFr
 
 
 def bitmaps(rows: DataFrame, numbers: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
-    """(by..., _bucket, _bits): the keys of every group. Rows whose key has no number make no group."""
+    """(by..., _bucket, _bits): the keys of every group. Rows whose key has no number make no group.
+
+    Repeated rows set the same bit again, so they need not be told apart first. The rows of a group
+    and bucket meet as numbers, at most 32,768 different ones, and become one bitmap at once.
+    """
     columns = [f"`{c}`" for c in by]
+    numbered = spread_by(rows.select(key, *columns), key).join(numbers, key)
+    placed = numbered.select(
+        *columns, F.bitmap_bucket_number(NUMBER).alias(BUCKET), F.bitmap_bit_position(NUMBER).alias("_position")
+    )
     return (
-        rows.select(key, *columns)
-        .distinct()
-        .join(numbers, key)
-        .groupBy(*columns, F.bitmap_bucket_number(NUMBER).alias(BUCKET))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(NUMBER)).alias(BITS))
+        spread_by(placed, *columns, BUCKET)
+        .groupBy(*columns, BUCKET)
+        .agg(F.bitmap_construct_agg("_position").alias(BITS))
     )
 
 

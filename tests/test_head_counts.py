@@ -63,3 +63,13 @@ def test_bitmaps_of_two_parts_merge_to_those_of_the_whole(spark):
     parts.append(parts[0])  # what was counted already changes nothing
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     assert as_dict(rolled_up(merged, SETS, "people")) == counted(rows)
+
+
+def test_rows_of_a_bitmap_are_spread(spark):
+    rows = [(f"k{n % 50}", n % 3, "a") for n in range(300)] * 2
+    data = table(spark, rows)
+    bits = bitmaps(data, numbered_keys(data, "key"), "key", ("day", "team"))
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    # By the key and by the group, over a number of tasks that is not fitted to the bytes moved.
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert as_dict(rolled_up(bits, SETS, "people")) == counted(rows)
