@@ -59,15 +59,19 @@ def _gram_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """log(target share / raw share) per bucket, over all documents and all trusted ones.
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are labelled good.
 
-    Only documents with an id meet the labels; Spark sends the ids to the texts where they are few
-    and shuffles the texts once where they are not.
+    Only documents with an id meet the labels. The ids grow with the texts, so they are never
+    sent to all tasks: the texts are shuffled once, at any size.
     """
     trusted = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    raw = _gram_counts(docs)
-    target = _gram_counts(docs.filter("doc_id is not null").join(trusted, "doc_id", "left_semi"))
+    return docs.filter("doc_id is not null").join(trusted.hint("merge"), "doc_id", "left_semi")
+
+
+def gram_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """log(target share / raw share) per bucket, over all documents and all trusted ones."""
+    raw, target = _gram_counts(docs), _gram_counts(trusted_texts(docs, labels))
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 

@@ -248,3 +248,12 @@ def test_wrapped_notices_inside_longer_texts(docs_of, prose):
     ]
     found = {(r.doc_id, r.licence): (r.dice, r.whole_text) for r in licences.licence_matches(docs_of(rows)).collect()}
     assert found == {(n, "MIT"): (1.0, False) for n in (1, 2, 3)}
+
+
+def test_trusted_ids_are_not_sent_to_all_tasks(docs_of, spark):
+    docs = docs_of([(1, "good text"), (2, "other"), (1, "good again"), (None, "no id")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    trusted = quality_rules.trusted_texts(docs, labels)
+    assert sorted(r["text"] for r in trusted.collect()) == ["good again", "good text"]
+    plan = trusted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
