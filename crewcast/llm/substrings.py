@@ -257,13 +257,10 @@ def _digest(batches):
             )
 
 
-def _rest(batches):
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            kept = [b" ".join(_keep(t.split(), s)) for t, s in zip(binary_column(batch, "text"), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.binary()).cast(pa.string())], names=["_id", "_key", "_rest"]
-            )
+def _rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The words of each text that stay, joined by one space; null where there is no text."""
+    kept = [None if t is None else b" ".join(_keep(t.split(), s)) for t, s in zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist(), strict=True)]
+    return pa.array(kept, pa.binary()).cast(pa.string())
 
 
 def _per_document(rows: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
@@ -373,20 +370,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of `text` and n_chars set anew where a text changed.
 
     Unchanged texts keep their spacing; the words left of a changed one are joined by one space.
-    All rows and columns stay.
+    All rows and columns stay. Every text meets its spans once and is cut where they meet; texts
+    without spans are not handed to Python.
     """
-    spark = docs.sparkSession
-    searched, spans = repeated_passages(docs)
-    changed = (
-        searched.dropDuplicates(["doc_id", "row_key"])
-        .join(spans, ["doc_id", "row_key"])
-        .select("doc_id", "row_key", "text", "spans")
-        .mapInArrow(_rest, "_id bigint, _key bigint, _rest string")
-    )
+    spans = written(repeated_passages(docs)[1], fresh_path(docs.sparkSession, "removed")).toDF("_id", "_key", "_spans")
     rows = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_key", F.xxhash64("text"))
-    joined = rows.join(written(changed, fresh_path(spark, "changed")).hint("merge"), ["_id", "_key"], "left")
-    changes = F.col("_rest").isNotNull()
+    changes = F.col("_spans").isNotNull()
+    joined = rows.join(spans.hint("merge"), ["_id", "_key"], "left")
+    joined = joined.withColumn("_rest", F.arrow_udf(_rest, "string")(F.when(changes, F.col("text")), F.col("_spans")))
     values = {"text": F.coalesce("_rest", "text")}
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changes, F.length("_rest").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        length = F.length("_rest").cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(F.col("_rest").isNotNull(), length).otherwise(F.col("n_chars"))
     return joined.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])

@@ -136,3 +136,15 @@ def test_index_against_plain_search(prose):
         for p in range(i, i + 20)
     }
     assert covered == wanted
+
+
+def test_texts_are_cut_where_they_meet_their_spans(docs_of, prose, monkeypatch):
+    names, write = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, path: names.append(path.split("/")[-1].split("-")[0]) or write(df, path))
+    passage, own = " ".join(prose(1, 60)), " ".join(prose(2, 20))
+    docs = docs_of([(1, passage), (2, f"{own}  {passage}"), (2, f"{own}  {passage}"), (3, None), (None, passage), (4, " a  b ")])
+    found = sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in substrings.without_repeats(docs).collect() if r["text"] is not None)
+    assert found == sorted(
+        [("1", passage, len(passage)), *[("2", own, len(own))] * 2, ("None", passage, len(passage)), ("4", " a  b ", 6)]
+    )
+    assert "changed" not in names  # no second table of changed texts
