@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crewcast.operators.numbering import ROWS_PER_RANGE, join_totals, with_order_ranges
+from crewcast.operators.numbering import ROWS_PER_RANGE, join_totals, order_ranges, split_by_size
 
 
 def check_chunking(chunk_size: int, overlap: int) -> None:
@@ -57,17 +57,35 @@ def assemble_chunks(
 ) -> DataFrame:
     """Chunks of prefix + pieces put together in order, per key.
 
-    The whole text is never built. Each piece gets its offset in the text (a running sum in two
-    levels, inside ranges of a large key's order and over these ranges), is copied to the chunks it
-    touches, and each chunk gathers only its own few thousand characters. A key with very many
-    pieces is therefore spread over many tasks. `order` is a bigint, unique per key; equal values
-    are put in the order of their text, null ones first. `prefix` is an expression over the keys.
+    The whole text is never built. Each piece gets its offset in the text, is copied to the chunks it
+    touches, and each chunk gathers only its own few thousand characters. Keys of at most
+    `rows_per_range` pieces take one running sum, and their chunks are gathered where the pieces
+    lie. The pieces of larger keys are spread over many tasks: their sums have two levels, inside
+    ranges of the key's order and over these ranges. `order` is a bigint, unique per key; equal
+    values are put in the order of their text, null ones first. `prefix` is an expression over the
+    keys.
 
-    The pieces are read several times: give a stored table.
+    The pieces are read several times: give a table that is stored or made by little work. Pieces
+    that lie by some of the keys stay there.
     """
     check_chunking(chunk_size, overlap)
-    step = chunk_size - overlap
-    sized = with_order_ranges(pieces, keys, order, ties=[piece], rows_per_range=rows_per_range).select(
+    small, large = split_by_size(pieces, keys, rows_per_range)
+    length = F.length("_piece").cast("bigint")
+    own = Window.partitionBy(*keys).orderBy(order, "_piece")
+    nth, up_to = F.row_number().over(own), F.sum(length).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = small.select(*keys, order, F.col(piece).alias("_piece")).select(*keys, "_piece", nth.alias("_nth"), up_to.alias("_up_to"))
+    start = F.when(F.col("_nth") == 1, 0).otherwise(F.length(prefix) + F.col("_up_to") - length)
+    headed = F.when(F.col("_nth") == 1, F.concat(prefix, F.coalesce("_piece", F.lit("")))).otherwise(F.col("_piece"))
+    placed = summed.select(*keys, start.cast("bigint").alias("_start"), headed.alias("_piece")).withColumn("_length", length)
+    chunks = _gathered(placed, keys, chunk_size, overlap)
+    if large is None:
+        return chunks
+    return chunks.unionByName(_gathered(_placed_by_ranges(large, keys, order, piece, prefix), keys, chunk_size, overlap))
+
+
+def _placed_by_ranges(pieces: DataFrame, keys: list[str], order: str, piece: str, prefix: Column) -> DataFrame:
+    """keys, _piece, _length, _start of the pieces of large keys, prefixes included."""
+    sized = order_ranges(pieces, keys, order, "_range", ties=[piece]).select(
         *keys,
         order,
         "_range",
@@ -101,8 +119,13 @@ def assemble_chunks(
         prefix_length.alias("_length"),
         F.lit(0).cast("bigint").alias("_start"),
     )
-    placed = head.unionByName(body).filter(F.col("_length") > 0)
+    return head.unionByName(body)
 
+
+def _gathered(placed: DataFrame, keys: list[str], chunk_size: int, overlap: int) -> DataFrame:
+    """keys, chunk_number, chunk of placed pieces (keys, _piece, _length, _start)."""
+    step = chunk_size - overlap
+    placed = placed.filter(F.col("_length") > 0)
     # Chunk n covers the characters [n * step, n * step + chunk_size).
     start, end = F.col("_start"), F.col("_start") + F.col("_length")
     first = F.greatest(F.floor((start - chunk_size) / step) + 1, F.lit(0)).cast("bigint")

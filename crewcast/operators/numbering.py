@@ -44,7 +44,7 @@ def split_by_size(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFr
     return df.join(large, condition, "left_anti"), df.join(large, condition, "left_semi")
 
 
-def _ranged(large: DataFrame, keys: Sequence[str], order: str, name: str, ties: Sequence[str]) -> DataFrame:
+def order_ranges(large: DataFrame, keys: Sequence[str], order: str, name: str, ties: Sequence[str]) -> DataFrame:
     """Rows sorted into ranges of (keys, order, ties) with the number of their range.
 
     Written, so the numbers stay whatever is computed again.
@@ -65,7 +65,7 @@ def with_order_ranges(
     """Adds the range of each row in its key's order: 0 throughout for keys of few rows."""
     small, large = split_by_size(df, keys, rows_per_range)
     small = small.withColumn(name, F.lit(0))
-    return small if large is None else small.unionByName(_ranged(large, keys, order, name, ties))
+    return small if large is None else small.unionByName(order_ranges(large, keys, order, name, ties))
 
 
 def number_rows(
@@ -84,7 +84,7 @@ def number_rows(
     numbered = numbered.select(*columns, name)
     if large is None:
         return numbered
-    ranged = _ranged(large, keys, order, "_range", ties)
+    ranged = order_ranges(large, keys, order, "_range", ties)
     over_ranges = Window.partitionBy(*quoted).orderBy("_range")
     before = (
         ranged.groupBy(*quoted, "_range")

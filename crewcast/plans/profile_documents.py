@@ -80,29 +80,28 @@ def overview_lines(people: DataFrame) -> DataFrame:
     return people.select("_person", F.lit(0).cast("bigint").alias("_row_id"), F.concat_ws("\n", *fields).alias("line"))
 
 
-def _kept(text: Column) -> Column:
-    """Generator: the text as a row of its own, or no row when it is empty or null.
+def _lines(df: DataFrame, name: str, line: Column, skill: Column | None = None) -> DataFrame:
+    """(_person, _row_id, line, skill) of a section table; empty lines dropped.
 
-    A filter on the text would be pushed below the projection that builds it and build it twice.
+    A filter on a projected line would be pushed below the projection and build the line twice;
+    it stays above a generator.
     """
-    return F.explode(F.filter(F.array(text), lambda t: t != ""))
-
-
-def _lines(df: DataFrame, name: str, line: Column) -> DataFrame:
-    """(_person, _row_id, line) of a section table; empty lines dropped."""
     person = casefold(strip(F.col(name).cast("string"))).alias("_person")
-    return df.select(person, "_row_id", _kept(line).alias("line"))
+    skill = F.lit(None).cast("string") if skill is None else skill
+    cell = F.array(F.struct(line.alias("line"), skill.alias("skill")))
+    return df.select(person, "_row_id", F.inline(cell)).filter("line <> ''")
 
 
-def first_of_each(lines: DataFrame, value: str = "line", order: str = "_row_id") -> DataFrame:
-    """Distinct values per person ignoring case; the first spelling and position stay.
+def first_of_each(spelled: DataFrame, value: str, order: Column) -> DataFrame:
+    """(_person, section, value, _order): distinct values ignoring case; the first spelling and position stay.
 
-    Equal spellings are reduced first, by their smallest position alone (a hash aggregate where
-    the order is a number), so far fewer rows are folded and sorted.
+    Give each spelling once, with its smallest position, so that few rows are left to be folded
+    and sorted. They are dealt out before they are sorted, as folding leaves nearly all of them.
     """
-    spelled = lines.groupBy("_person", value).agg(F.min(order).alias(order))
-    return spelled.groupBy("_person", casefold(F.col(value)).alias("_folded")).agg(
-        F.min_by(value, order).alias(value), F.min(order).alias(order)
+    keys = ["_person", "section", "_folded"]
+    folded = spelled.select("_person", "section", value, order.alias("_order"), casefold(F.col(value)).alias("_folded"))
+    return folded.repartition(*keys).groupBy(*keys).agg(
+        F.min_by(value, "_order").alias(value), F.min("_order").alias("_order")
     ).drop("_folded")
 
 
@@ -128,12 +127,12 @@ def technology_lines(df: DataFrame) -> DataFrame:
         labelled("Vendor", F.col("Vendor")),
         labelled("Category", F.col("Type")),
     )
-    return first_of_each(_lines(known_rows(df), "EmployeeName", line))
+    return _lines(known_rows(df), "EmployeeName", line, clean_text(F.col("TechnologyName")))
 
 
 def knowledge_lines(df: DataFrame, name: str, category: str | None = None) -> DataFrame:
     details = [_level()] + ([labelled("Category", F.col(category))] if category else [])
-    return first_of_each(_lines(known_rows(df), "EmployeeName", _with_details(F.col(name), *details)))
+    return _lines(known_rows(df), "EmployeeName", _with_details(F.col(name), *details), clean_text(F.col(name)))
 
 
 def experience_lines(df: DataFrame) -> DataFrame:
@@ -149,140 +148,101 @@ def experience_lines(df: DataFrame) -> DataFrame:
 
 def simple_lines(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     values = [known_text(F.col(c)) for c in columns]
-    return first_of_each(_lines(current_rows(df), name, F.concat_ws(DASH, *values)))
-
-
-def _skills(named: DataFrame, order: str = "_row_id") -> DataFrame:
-    """(_person, skills): distinct names in order of first appearance."""
-    distinct = first_of_each(named, "skill", order)
-    ordered = F.sort_array(F.collect_list(F.struct(order, "skill")))
-    return distinct.groupBy("_person").agg(ordered["skill"].alias("skills"))
-
-
-def knowledge_skills(df: DataFrame, name: str) -> DataFrame:
-    person = casefold(strip(F.col("EmployeeName").cast("string"))).alias("_person")
-    return _skills(known_rows(df).select(person, "_row_id", _kept(clean_text(F.col(name))).alias("skill")))
+    return _lines(current_rows(df), name, F.concat_ws(DASH, *values))
 
 
 def experience_skills(df: DataFrame) -> DataFrame:
     """All of the first technology column come first, then all of the second, and so on."""
     present = [c for c in EXPERIENCE_TECHNOLOGIES if c in df.columns]
-    cells = F.array(
-        *[
-            F.struct(
-                F.struct(F.lit(n).alias("column"), F.col("_row_id").alias("row")).alias("_order"),
-                clean_text(F.col(c)).alias("skill"),
-            )
-            for n, c in enumerate(present)
-        ]
-    )
+    cells = F.array(*[F.struct(F.lit(n).alias("_column"), clean_text(F.col(c)).alias("skill")) for n, c in enumerate(present)])
     person = casefold(strip(F.col("EmployeeName").cast("string"))).alias("_person")
-    present_cells = F.filter(cells, lambda c: c["skill"] != "")
-    return _skills(current_rows(df).select(person, F.inline(present_cells)), "_order")
+    return current_rows(df).select(person, "_row_id", F.inline(cells)).filter("skill <> ''")
+
+
+def _skills(named: DataFrame) -> DataFrame:
+    """(_person, skills): per section the distinct names in order of column and row."""
+    spelled = named.groupBy("_person", "section", "skill", "_column").agg(F.min("_row_id").alias("_row_id"))
+    distinct = first_of_each(spelled, "skill", F.struct("_column", "_row_id"))
+    ordered = F.sort_array(F.collect_list(F.struct("_order", "skill")))
+    sections = distinct.groupBy("_person", "section").agg(ordered["skill"].alias("skills"))
+    return sections.groupBy("_person").agg(F.map_from_entries(F.collect_list(F.struct("section", "skills"))).alias("_skills"))
+
+
+def _of_sections(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.withColumn("section", F.lit(name)) for name, df in tables.items()])
 
 
 def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     """All section documents of the current employees.
 
-    Each section table is reduced to distinct lines per name before it meets the employees, so
-    the join sees no repeated lines, and the sections' texts are cut into chunks without ever
-    being built whole.
+    The rows of the section tables are read once; lines and skills are both made from their
+    distinct spellings. The lines are reduced to distinct ones per name before they meet the
+    employees, and the sections' texts are cut into chunks without ever being built whole. Lines
+    lie by person from there on, so that chunks meet their person where they are made.
     """
+    spark = tables.employees.sparkSession
     people = _people(tables.employees)
-    people = written(people, fresh_path(people.sparkSession, "profile-people"))
-    # section → (separator between lines, lines, skills)
-    sections: dict[str, tuple[str, DataFrame, DataFrame | None]] = {
-        "Overview": ("\n", overview_lines(people), None),
-        "Short profile": ("\n\n", short_profile_lines(tables.short_profiles), None),
-        "Technologies": (
-            "\n",
-            technology_lines(tables.technologies),
-            knowledge_skills(tables.technologies, "TechnologyName"),
-        ),
-        "Technical expertise": (
-            "\n",
-            knowledge_lines(tables.technical_expertise, "TechnicalExpertiseName"),
-            knowledge_skills(tables.technical_expertise, "TechnicalExpertiseName"),
-        ),
-        "Business expertise": (
-            "\n",
-            knowledge_lines(tables.business_expertise, "BusinessSkill", "Category"),
-            knowledge_skills(tables.business_expertise, "BusinessSkill"),
-        ),
-        "Professional experience": (
-            "\n\n",
-            experience_lines(tables.experience),
-            experience_skills(tables.experience),
-        ),
-        "Academic qualifications": (
-            "\n",
-            simple_lines(tables.academic, "EmployeeName", ["Academic qualification"]),
-            None,
-        ),
-        "Trainings": (
-            "\n",
-            simple_lines(tables.trainings, "Employee name", ["Training", "Vendor", "Year"]),
-            None,
-        ),
-        "Certifications": (
-            "\n",
-            simple_lines(tables.certifications, "Employee name", ["Certification", "Vendor", "Year"]),
-            None,
-        ),
-        "Languages": (
-            "\n",
-            simple_lines(tables.languages, "Employee name", ["Language", "Level"]),
-            None,
-        ),
-    }
-    lines, skills = [], []
-    for name, (separator, section_lines, section_skills) in sections.items():
-        lines.append(
-            section_lines.select(
-                "_person",
-                F.lit(name).alias("section"),
-                "_row_id",
-                F.concat(F.lit(separator), "line").alias("piece"),
-            )
-        )
-        if section_skills is not None:
-            skills.append(
-                section_skills.select("_person", F.lit(name).alias("section"), "skills")
-            )
-    pieces = reduce(DataFrame.unionByName, lines).join(
-        people.select("_person", "consultant_name"), "_person"
+    people = written(people, fresh_path(spark, "profile-people"))
+    experience = "Professional experience"
+    repeated = _of_sections(
+        {
+            "Technologies": technology_lines(tables.technologies),
+            "Technical expertise": knowledge_lines(tables.technical_expertise, "TechnicalExpertiseName"),
+            "Business expertise": knowledge_lines(tables.business_expertise, "BusinessSkill", "Category"),
+            "Academic qualifications": simple_lines(tables.academic, "EmployeeName", ["Academic qualification"]),
+            "Trainings": simple_lines(tables.trainings, "Employee name", ["Training", "Vendor", "Year"]),
+            "Certifications": simple_lines(tables.certifications, "Employee name", ["Certification", "Vendor", "Year"]),
+            "Languages": simple_lines(tables.languages, "Employee name", ["Language", "Level"]),
+        }
+    )
+    # Equal spellings are reduced by their smallest position alone, in a hash aggregate.
+    spelled = repeated.groupBy("_person", "section", "line", "skill").agg(F.min("_row_id").alias("_row_id"))
+    spelled = written(spelled, fresh_path(spark, "profile-spellings"))
+    once = first_of_each(spelled, "line", F.col("_row_id"))
+    # Every line stands for itself here.
+    single = _of_sections(
+        {
+            "Overview": overview_lines(people),
+            "Short profile": short_profile_lines(tables.short_profiles).drop("skill"),
+            experience: experience_lines(tables.experience).drop("skill"),
+        }
     )
-    # Counting, offsets and chunks all read the pieces, so they are written once. Tables with
-    # skills are read a second time for these.
-    pieces = written(pieces, fresh_path(pieces.sparkSession, "profile-pieces"))
     # Every piece starts with its section's separator; the header adds what is missing to an
     # empty line between header and first line.
-    wide_gap = F.col("section").isin(*[n for n, s in sections.items() if s[0] == "\n\n"])
+    wide_gap = F.col("section").isin("Short profile", experience)
+    separator = F.when(wide_gap, "\n\n").otherwise("\n")
+    pieces = single.unionByName(once.withColumnRenamed("_order", "_row_id")).select(
+        "_person", "section", "_row_id", F.concat(separator, "line").alias("piece")
+    )
+    # Counted by section and cut into chunks.
+    pieces = written(pieces, fresh_path(spark, "profile-pieces"))
     header = F.concat(
         F.lit("Consultant: "), "consultant_name", F.lit("\nSection: "), "section",
         F.when(wide_gap, "").otherwise("\n"),
     )
     chunks = assemble_chunks(
-        pieces,
-        ["consultant_name", "section"],
+        pieces.repartition("_person").join(people.select("_person", "consultant_name"), "_person"),
+        ["_person", "consultant_name", "section"],
         "_row_id",
         "piece",
         header,
         chunk_size=PROFILE_CHUNK,
         overlap=PROFILE_OVERLAP,
     )
-    details = people.select(
-        "consultant_name",
-        "_person",
+    details = F.struct(
         clean_text(F.col("Email")).alias("consultant_id"),
         clean_text(F.col("Job level")).alias("level"),
         clean_text(F.col("Group")).alias("group"),
         clean_text(F.col("Office")).alias("office"),
     )
+    # Names that differ in case only are one person to the sections.
+    named = people.groupBy("_person").agg(F.map_from_entries(F.collect_list(F.struct("consultant_name", details))).alias("_details"))
+    skills = spelled.filter("skill is not null").select("_person", "section", "_row_id", "skill", F.lit(0).alias("_column"))
+    skills = skills.unionByName(_of_sections({experience: experience_skills(tables.experience)}))
     identity = document_id(F.col("consultant_name"), F.col("section"), F.col("chunk_number"))
+    own = F.element_at("_details", F.col("consultant_name"))
     return (
-        chunks.join(details, "consultant_name")
-        .join(reduce(DataFrame.unionByName, skills), ["_person", "section"], "left")
+        chunks.join(named.join(_skills(skills), "_person", "left"), "_person")
         .select(
             identity.alias("id"),
             F.col("chunk").alias("content"),
@@ -291,12 +251,9 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
             F.lit(source_file).alias("source_file"),
             "consultant_name",
             F.lit("consultant_profile").alias("record_type"),
-            "consultant_id",
-            "level",
-            "group",
-            "office",
+            *[own[c].alias(c) for c in ("consultant_id", "level", "group", "office")],
             F.lit(True).alias("is_active"),
-            F.coalesce("skills", F.array().cast("array<string>")).alias("skills"),
+            F.coalesce(F.try_element_at("_skills", F.col("section")), F.array().cast("array<string>")).alias("skills"),
             F.col("section").alias("sheet_name"),
             identity.alias("chunk_id"),
             F.col("chunk_number").alias("row_number"),
