@@ -1,11 +1,11 @@
 """Batch retrieval: a table of queries against a table of documents.
 
 Documents are not moved or copied to meet queries; only a table of fewer files than cores is dealt
-out first. The queries pass the driver in blocks of bounded rows and bytes; each block travels to
-all tasks, every document is scored where it lies, and only the best rows per task and query are
-shuffled. With more than one block each block's
+out first. The queries pass the driver in scans of bounded rows and bytes, cut into blocks; a scan
+travels to all tasks, every document is read once for it and scored where it lies, block by block,
+and only the best rows per task and query are shuffled. With more than one scan each scan's
 result is written to shared storage before the next one starts, so neither the driver nor a task
-ever holds more than one block. A table of any size takes the same way.
+ever holds more than one scan. A table of any size takes the same way.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ except ImportError:
 DEFAULT_TOP_K = 30
 RRF_CONSTANT = 60
 
-# A block of queries: rows, and bytes of their words or vectors, at most (one query at least).
+# Queries that share a scan of the documents: rows, and bytes of their words or vectors, at most
+# (one query at least). A block, the queries that are scored together, has no more rows.
 BLOCK_ROWS, BLOCK_BYTES = 2_000, 8 << 20
 SCORES_AT_ONCE = 500_000
 
@@ -44,6 +45,11 @@ def _check_top_k(top_k: int | None) -> None:
         raise ValueError("top_k must be greater than zero or None.")
 
 
+def _check_block(block_rows: int) -> None:
+    if block_rows < 1:
+        raise ValueError("block_rows must be greater than zero.")
+
+
 def top_per_query(scored: DataFrame, top_k: int | None) -> DataFrame:
     """The first top_k per query by score, ties by id, with their rank.
 
@@ -160,51 +166,69 @@ def _score_schema(queries: DataFrame, documents: DataFrame, score: T.DataType) -
     )
 
 
-def _blocks(queries: DataFrame, bytes_of: Callable[[Row], int], most_rows: int) -> Iterator[list[Row]]:
-    """The rows of queries in blocks of bounded size, fetched one input partition at a time."""
-    block: list[Row] = []
+def _scans(queries: DataFrame, bytes_of: Callable[[Row], int]) -> Iterator[list[Row]]:
+    """The rows of queries in scans of bounded size, fetched one input partition at a time."""
+    scan: list[Row] = []
     size = 0
     for row in queries.toLocalIterator():
         more = bytes_of(row)
-        if block and (len(block) >= most_rows or size + more > BLOCK_BYTES):
-            yield block
-            block, size = [], 0
-        block.append(row)
+        if scan and (len(scan) >= BLOCK_ROWS or size + more > BLOCK_BYTES):
+            yield scan
+            scan, size = [], 0
+        scan.append(row)
         size += more
-    if block:
-        yield block
+    if scan:
+        yield scan
 
 
-def _over_blocks(blocks: Iterator[list[Row]], answer: Callable[[list[Row]], DataFrame]) -> DataFrame:
-    """The answers of all blocks. An answer is complete for its queries, so they only add up."""
-    first = next(blocks, [])
-    second = next(blocks, None)
+def _over_scans(scans: Iterator[list[Row]], answer: Callable[[list[Row]], DataFrame]) -> DataFrame:
+    """The answers of all scans. An answer is complete for its queries, so they only add up."""
+    first = next(scans, [])
+    second = next(scans, None)
     one = answer(first)
     if second is None:
         return one
     path = fresh_path(one.sparkSession, "answers")
     one.write.parquet(path)
-    for block in chain([second], blocks):
-        answer(block).write.mode("append").parquet(path)
+    for scan in chain([second], scans):
+        answer(scan).write.mode("append").parquet(path)
     return one.sparkSession.read.schema(one.schema).parquet(path)
 
 
+def _cut(count: int, block_rows: int) -> list[slice]:
+    """The blocks of a scan of so many queries."""
+    return [slice(start, min(start + block_rows, count)) for start in range(0, count, block_rows)]
+
+
 def _word_frames(
-    batches: Iterator[pd.DataFrame], query_ids: list, term_lists: list[list[str]], top_k: int | None
+    batches: Iterator[pd.DataFrame],
+    query_ids: list,
+    term_lists: list[list[str]],
+    top_k: int | None,
+    block_rows: int = BLOCK_ROWS,
 ) -> Iterator[pd.DataFrame]:
-    """The matching pairs of the batches: all, in frames of bounded size, or the top_k per query at the end."""
-    vocabulary, best = _Vocabulary(term_lists), _Best(query_ids, top_k, minimum=1)
+    """The matching pairs of the batches: all, in frames of bounded size, or the top_k per query at the end.
+
+    A text is searched once for the words of all blocks.
+    """
+    vocabulary = _Vocabulary(term_lists)
+    best = [(block, _Best(query_ids[block], top_k, minimum=1)) for block in _cut(len(query_ids), block_rows)]
     for batch in batches:
         ids, found = batch["id"].to_numpy(), batch["text"].to_numpy()
         for part in _slices(len(ids), len(query_ids)):
-            best.add(np.stack([vocabulary.scores(t) for t in found[part]]), ids[part])
-            if top_k is None:  # a batch's pairs are never held together
-                yield from best.frames()
-    yield from best.frames()
+            scores = np.stack([vocabulary.scores(t) for t in found[part]])
+            for block, own in best:
+                own.add(scores[:, block], ids[part])
+                if top_k is None:  # a batch's pairs are never held together
+                    yield from own.frames()
+    for _, own in best:
+        yield from own.frames()
 
 
-def _score_words(texts: DataFrame, rows: list[Row], top_k: int | None, schema: T.StructType) -> DataFrame:
-    """A block of queries goes to every task; a task returns its top_k per query.
+def _score_words(
+    texts: DataFrame, rows: list[Row], top_k: int | None, schema: T.StructType, block_rows: int
+) -> DataFrame:
+    """A scan's queries go to every task; a task returns its top_k per query.
 
     Counting inside the task keeps the (query, document) pairs off the network: common words
     make almost every document match almost every query.
@@ -212,7 +236,7 @@ def _score_words(texts: DataFrame, rows: list[Row], top_k: int | None, schema: T
     query_ids, term_lists = [r["query_id"] for r in rows], [list(r["terms"] or ()) for r in rows]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _word_frames(batches, query_ids, term_lists, top_k)
+        return _word_frames(batches, query_ids, term_lists, top_k, block_rows)
 
     return spread_few(texts).mapInPandas(score, schema)
 
@@ -231,13 +255,14 @@ def keyword_search(
     queries while it is built.
     """
     _check_top_k(top_k)
+    _check_block(block_rows)
     kept = documents.filter(equality_filter(documents, filters)) if filters else documents
     terms = query_terms(queries)
     texts = kept.select("id", haystack().alias("text"))
     schema = _score_schema(terms, texts, T.IntegerType())
-    blocks = _blocks(terms, lambda r: sum(len(t) + 64 for t in r["terms"] or ()), block_rows)
-    found = _over_blocks(blocks, lambda rows: top_per_query(_score_words(texts, rows, top_k, schema), top_k))
-    # Written blocks are sorted each by itself.
+    scans = _scans(terms, lambda r: sum(len(t) + 64 for t in r["terms"] or ()))
+    found = _over_scans(scans, lambda rows: top_per_query(_score_words(texts, rows, top_k, schema, block_rows), top_k))
+    # Written scans are sorted each by itself.
     return found if top_k is not None else top_per_query(found, None)
 
 
@@ -250,11 +275,14 @@ def _unit_rows(vectors: pd.Series, dimensions: int) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _add_similarities(best: _Best, units: np.ndarray, batch: pd.DataFrame) -> None:
+def _add_similarities(best: list[tuple[slice, _Best]], units: np.ndarray, batch: pd.DataFrame) -> None:
+    """Scores of the batch against all vectors, added to what each block of them holds."""
     ids = batch["id"].to_numpy()
     for part in _slices(len(ids), len(units)):
         rows = _unit_rows(batch["content_vector"].iloc[part], units.shape[1])
-        best.add(np.rint(rows @ units.T * 1e6) / 1e6 + 0.0, ids[part])
+        scores = np.rint(rows @ units.T * 1e6) / 1e6 + 0.0
+        for block, own in best:
+            own.add(scores[:, block], ids[part])
 
 
 def vector_search(
@@ -272,27 +300,31 @@ def vector_search(
     it is built.
     """
     _check_top_k(top_k)
+    _check_block(block_rows)
     k = max(top_k or DEFAULT_TOP_K, DEFAULT_TOP_K)
     kept = documents.filter(equality_filter(documents, filters)) if filters else documents
     vectors = kept.select("id", "content_vector").filter(F.col("content_vector").isNotNull())
     wanted = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
     schema = _score_schema(wanted, vectors, T.DoubleType())
-    blocks = _blocks(wanted, lambda r: 8 * len(r["query_vector"]), block_rows)
-    return _over_blocks(blocks, lambda rows: top_per_query(_score_vectors(vectors, rows, dimensions, k, schema), k))
+    scans = _scans(wanted, lambda r: 8 * len(r["query_vector"]))
+    return _over_scans(
+        scans, lambda rows: top_per_query(_score_vectors(vectors, rows, dimensions, k, schema, block_rows), k)
+    )
 
 
 def _score_vectors(
-    vectors: DataFrame, rows: list[Row], dimensions: int, k: int, schema: T.StructType
+    vectors: DataFrame, rows: list[Row], dimensions: int, k: int, schema: T.StructType, block_rows: int
 ) -> DataFrame:
-    """A block of queries goes to every task; a task returns its k best per query."""
+    """A scan's queries go to every task; a task returns its k best per query."""
     query_ids = [r["query_id"] for r in rows]
     units = _unit_rows(pd.Series([r["query_vector"] for r in rows], dtype=object), dimensions)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(query_ids, k)
+        best = [(block, _Best(query_ids[block], k)) for block in _cut(len(query_ids), block_rows)]
         for batch in batches:
             _add_similarities(best, units, batch)
-        yield from best.frames()
+        for _, own in best:
+            yield from own.frames()
 
     return spread_few(vectors).mapInPandas(nearest, schema)
 
