@@ -253,9 +253,9 @@ def _tiles(members: DataFrame, buckets: DataFrame) -> DataFrame:
     placed = members.join(buckets, "key").withColumn("is_main", F.col("comp") == F.col("main"))
     tile = lambda count: F.pmod(F.xxhash64("id"), F.col(count))
     over = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
-    as_y = placed.select("key", over("x_tiles").alias("x_tile"), tile("y_tiles").alias("y_tile"), F.lit(False).alias("outside"), "id", "comp", "sign", "is_main")
+    as_y = placed.select("key", over("x_tiles").alias("x_tile"), tile("y_tiles").alias("y_tile"), F.lit(False).alias("outside"), "id", "comp", "is_main")
     as_x = placed.filter("not is_main").select(
-        "key", tile("x_tiles").alias("x_tile"), over("y_tiles").alias("y_tile"), F.lit(True).alias("outside"), "id", "comp", "sign", "is_main"
+        "key", tile("x_tiles").alias("x_tile"), over("y_tiles").alias("y_tile"), F.lit(True).alias("outside"), "id", "comp", "is_main"
     )
     return as_y.unionByName(as_x)
 
@@ -291,12 +291,15 @@ def _judged(docs: DataFrame) -> DataFrame:
     keys = nodes.select("id", "sign").mapInArrow(_keys, "key bigint, id bigint")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     members = written(keys.join(shared.select("key", "low"), "key"), fresh_path(spark, "members"))
-    signed = written(members.join(nodes.select("id", "sign"), "id").select("key", "low", "id", "sign"), fresh_path(spark, "signed"))
-
-    lows = signed.filter("id = low").select("key", F.col("sign").alias("sign_low"))
+    # Signatures are far wider than ids: they meet each pair of ids once, whatever keys it shares.
+    # They grow with the documents, so they are never broadcast.
+    signs = nodes.select("id", "sign").hint("merge")
     nearest = (
-        signed.filter("id <> low")
-        .join(lows, "key")
+        members.filter("id <> low")
+        .select("id", "low")
+        .distinct()
+        .join(signs, "id")
+        .join(signs.toDF("low", "sign_low").hint("merge"), "low")
         .select("id", "sign", "low", "sign_low")
         .mapInArrow(_distances, "id bigint, low bigint, apart bigint")
         .groupBy("id")
@@ -313,11 +316,12 @@ def _judged(docs: DataFrame) -> DataFrame:
     links = _confirmed(docs, wanted)
     grouped = components(links)
 
-    signed = signed.join(grouped, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), "sign")
-    signed = written(signed, fresh_path(spark, "signed"))
-    buckets = written(_open_buckets(signed), fresh_path(spark, "buckets"))
+    placed = members.join(grouped, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    placed = written(placed, fresh_path(spark, "placed"))
+    buckets = written(_open_buckets(placed), fresh_path(spark, "buckets"))
     rest = (
-        _tiles(signed, buckets)
+        _tiles(placed, buckets)
+        .join(signs, "id")
         .repartition("key", "x_tile", "y_tile")
         .sortWithinPartitions("key", "x_tile", "y_tile")
         .select("key", "x_tile", "y_tile", "outside", "id", "comp", "sign", "is_main")
