@@ -40,7 +40,7 @@ class BucketedStore:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in dealt.schema if f.name != BUCKET]
         marks = self.spark.createDataFrame([(b,) for b in buckets], f"{BUCKET} int").select(*empty, BUCKET)
         everything = dealt.unionByName(marks).repartition(BUCKET)
-        everything.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        everything.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(BUCKET).parquet(self.path)
 
     def create(self, rows: DataFrame) -> None:
         """Writes the whole table."""

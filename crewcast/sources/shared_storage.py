@@ -34,6 +34,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """Write df once and go on from the written table, so lost executors recompute nothing above."""
-    df.write.mode("overwrite").parquet(path)
+    """Write df once and go on from the written table, so lost executors recompute nothing above.
+
+    Intermediates are mostly texts, which zstd makes much smaller than the session's default does.
+    """
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
