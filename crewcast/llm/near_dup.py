@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from crewcast.llm.components import components
 from crewcast.llm.words import WordHashes, binary_column, long_list, mixed, shingles, slices
-from crewcast.sources.shared_storage import fresh_path, written
+from crewcast.sources.shared_storage import fresh_path, in_few_files, written
 
 SYMBOLS, CHUNK = 64, 4
 CHUNKS = SYMBOLS // CHUNK
@@ -219,8 +219,8 @@ def _reach(one: np.ndarray, two: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(one) + len(two) - common)
 
 
-def _confirmed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The links (a, b) among wanted (group, id, partners), written. Partners are ids of the group."""
+def _confirmed(docs: DataFrame, wanted: DataFrame, pairs: int) -> DataFrame:
+    """The links (a, b) among wanted (group, id, partners), written. Partners are ids of the group, `pairs` in all at most."""
     sets = (
         docs.select(F.col("doc_id").alias("id"), "text")
         .join(wanted.hint("merge"), "id")  # grows with the documents: never broadcast
@@ -228,7 +228,7 @@ def _confirmed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         .mapInArrow(_sets, "group bigint, id bigint, partners array<bigint>, items array<bigint>")
     )
     links = sets.repartition("group").sortWithinPartitions("group").mapInArrow(_group_links, "a bigint, b bigint")
-    return written(links.distinct(), fresh_path(docs.sparkSession, "near-links"))
+    return written(in_few_files(links.distinct(), pairs), fresh_path(docs.sparkSession, "near-links"))
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
@@ -280,17 +280,15 @@ def _judged(docs: DataFrame) -> DataFrame:
         docs.mapInArrow(_sketches, "doc_id bigint, row_key bigint, class_key binary, n_shingles bigint, sign binary"),
         fresh_path(spark, "sketches"),
     )
-    classes = written(
-        base.filter("n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"),
-        fresh_path(spark, "classes"),
-    )
-    nodes = written(
-        base.join(classes, ["class_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "sign").distinct(),
-        fresh_path(spark, "nodes"),
-    )
+    # What the tables below hold at most: rows of one each, or one a key.
+    rows = base.count()
+    classes = base.filter("n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    classes = written(in_few_files(classes, rows), fresh_path(spark, "classes"))
+    nodes = base.join(classes, ["class_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "sign").distinct()
+    nodes = written(in_few_files(nodes, rows), fresh_path(spark, "nodes"))
     keys = nodes.select("id", "sign").mapInArrow(_keys, "key bigint, id bigint")
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    members = written(keys.join(shared.select("key", "low"), "key"), fresh_path(spark, "members"))
+    members = written(in_few_files(keys.join(shared.select("key", "low"), "key"), SYMBOLS * rows), fresh_path(spark, "members"))
     # Signatures are far wider than ids: they meet each pair of ids once, whatever keys it shares.
     # They grow with the documents, so they are never broadcast.
     signs = nodes.select("id", "sign").hint("merge")
@@ -305,7 +303,7 @@ def _judged(docs: DataFrame) -> DataFrame:
         .groupBy("id")
         .agg(F.min_by("low", "apart").alias("low"))
     )
-    nearest = written(nearest, fresh_path(spark, "nearest"))
+    nearest = written(in_few_files(nearest, rows), fresh_path(spark, "nearest"))
     # A popular low is confirmed in several groups; each gets its set once.
     degrees = nearest.groupBy("low").agg(F.ceil(F.count("*") / TOGETHER).alias("groups"))
     dealt = nearest.join(degrees, "low").withColumn("group", F.xxhash64("low", F.pmod(F.xxhash64("id"), F.col("groups"))))
@@ -313,12 +311,12 @@ def _judged(docs: DataFrame) -> DataFrame:
     wanted = dealt.select("group", "id", F.array("low").alias("partners")).unionByName(
         dealt.select("group", F.col("low").alias("id")).distinct().withColumn("partners", nobody)
     )
-    links = _confirmed(docs, wanted)
+    links = _confirmed(docs, wanted, rows)
     grouped = components(links)
 
     placed = members.join(grouped, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    placed = written(placed, fresh_path(spark, "placed"))
-    buckets = written(_open_buckets(placed), fresh_path(spark, "buckets"))
+    placed = written(in_few_files(placed, SYMBOLS * rows), fresh_path(spark, "placed"))
+    buckets = written(in_few_files(_open_buckets(placed), SYMBOLS * rows), fresh_path(spark, "buckets"))
     rest = (
         _tiles(placed, buckets)
         .join(signs, "id")
@@ -328,11 +326,12 @@ def _judged(docs: DataFrame) -> DataFrame:
         .mapInArrow(_tile_partners, "group bigint, id bigint, partners array<bigint>")
     )
     rest = written(rest, fresh_path(spark, "rest"))
-    if not rest.isEmpty():
-        grouped = components(links.unionByName(_confirmed(docs, rest)))
+    pairs = rest.agg(F.sum(F.size("partners"))).first()[0]
+    if pairs:
+        grouped = components(links.unionByName(_confirmed(docs, rest, pairs)))
 
     named = classes.withColumnRenamed("doc_id", "id").join(grouped, "id", "left").select("class_key", F.coalesce("comp", "id").alias("comp"))
-    named = written(named, fresh_path(spark, "named"))
+    named = written(in_few_files(named, rows), fresh_path(spark, "named"))
     component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return (
         base.select("doc_id", "row_key", "class_key", "n_shingles")

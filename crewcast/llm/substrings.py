@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from crewcast.llm.fm_index import FmIndex, repeated_spans
 from crewcast.llm.words import WordHashes, binary_column, mixed, slices
-from crewcast.sources.shared_storage import fresh_path, written
+from crewcast.sources.shared_storage import fresh_path, in_few_files, written
 
 WINDOW, RUN = 50, 8
 #: Words on one side of a run that any window with the run holds on one side at least.
@@ -288,7 +288,7 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     anchors = written(texts.mapInArrow(_anchor_rows, "anchor bigint, doc_id bigint"), fresh_path(spark, "anchors"))
-    shared = written(_of_two_documents(anchors, "anchor"), fresh_path(spark, "shared-anchors"))
+    shared = written(in_few_files(_of_two_documents(anchors, "anchor"), anchors.count()), fresh_path(spark, "shared-anchors"))
     known = anchors.join(shared.select("anchor", (F.col("docs") > CROWDED).alias("_crowded")), "anchor")
     plain, crowded = (F.collect_set(F.when(test, F.col("anchor"))) for test in (~F.col("_crowded"), F.col("_crowded")))
     lists = known.groupBy("doc_id").agg(plain.alias("plain"), crowded.alias("crowded"))
@@ -314,10 +314,8 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Equal segments are merged by their hashes; texts go on only where an anchor has segments of
     # several first documents, one text of each.
-    owners = written(
-        segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")),
-        fresh_path(spark, "owners"),
-    )
+    owners = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
+    owners = written(in_few_files(owners, segments.count()), fresh_path(spark, "owners"))
     several = owners.groupBy("anchor").agg(F.min("owner").alias("_least"), F.max("owner").alias("_most")).filter("_least < _most")
     indexed = owners.join(several.select("anchor"), "anchor", "left_semi").select("anchor", "segment", F.col("owner").alias("doc_id"))
     own = written(

@@ -8,6 +8,9 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of ids, labels or signatures that go into a file of their own; below, cores share the rows.
+ROWS_OF_FILE = 100_000
+
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
@@ -40,3 +43,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of `rows` rows at most, with as many partitions as these need: one a core, or one per ROWS_OF_FILE.
+
+    A table of few rows otherwise gets a file for each shuffle partition. Each file is a task and
+    a rename, and a local file system starts a process to set its mode.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_FILE)))
