@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewcast.sources.shared_storage import fresh_path, written
@@ -29,19 +29,30 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], names:
     return rows.join(renamed, condition).drop(*[f"_key{n}" for n in range(len(keys))])
 
 
-def split_by_size(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the keys with at most `most` rows, and those of the others (None without such).
+def large_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """The keys with more than `most` rows, as _key0, _key1, ..., and their number of rows _n; None without such.
 
     Runs one job, which counts the keys. Large keys are few: at most one in `most` rows.
     """
     large = df.groupBy(*[F.col(f"`{k}`").alias(f"_key{n}") for n, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
-    large = written(large.filter(F.col("_n") > most).drop("_n"), fresh_path(df.sparkSession, "large-keys"))
-    if large.isEmpty():
-        return df, None
+    large = written(large.filter(F.col("_n") > most), fresh_path(df.sparkSession, "large-keys"))
+    return None if large.isEmpty() else large
+
+
+def is_large(keys: Sequence[str]) -> Column:
+    """The condition on which a row's keys are those of a row of `large_keys`."""
     condition = F.lit(True)
     for n, key in enumerate(keys):
         condition = condition & F.col(f"`{key}`").eqNullSafe(F.col(f"_key{n}"))
-    return df.join(large, condition, "left_anti"), df.join(large, condition, "left_semi")
+    return condition
+
+
+def split_by_size(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keys with at most `most` rows, and those of the others (None without such); runs one job."""
+    large = large_keys(df, keys, most)
+    if large is None:
+        return df, None
+    return df.join(large, is_large(keys), "left_anti"), df.join(large, is_large(keys), "left_semi")
 
 
 def order_ranges(large: DataFrame, keys: Sequence[str], order: str, name: str, ties: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from crewcast.operators import as_of
 from crewcast.operators.as_of import BACKWARD, FORWARD, as_of_join, nearer
 from crewcast.operators.assignments import assignment_weeks
 from crewcast.operators.containment import containment_pairs
@@ -86,6 +87,25 @@ def test_as_of_equals_brute_force(spark, direction, rows_per_range):
     assert as_of_join(a, k.limit(0), ["key"], "at", "week", "found", direction).filter("found is not null").count() == 0
 
 
+@pytest.mark.parametrize("direction", [BACKWARD, FORWARD])
+def test_few_known_rows_are_met_as_one_list(spark, direction, monkeypatch):
+    # Putting both sides in one order moves every known row for itself, several times.
+    monkeypatch.setattr(as_of, "with_order_ranges", None)
+    draw = random.Random(4)
+    keys = ["crowded"] * 8 + ["a", None]
+    asked = [(draw.choice(keys), days(draw.randrange(-30, 400)), n % 7) for n in range(300)] + [("crowded", None, 900), ("nobody", DAY, 901)]
+    known = [(key, days(7 * n), draw.randrange(5)) for key in ("crowded", "a", None) for n in range(10) for _ in range(2)] + [("a", None, 1)]
+    a = spark.createDataFrame(asked, "key string, at date, tag long")
+    k = spark.createDataFrame(known, "key string, week date, value long").select("key", "value", "week")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = as_of_join(a, k, ["key"], "at", "week", "found", direction, 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = sorted(((r.key, r.at, r.tag, (r.found.week, r.found.value) if r.found else None) for r in found), key=repr)
+    assert rows == brute_as_of(asked, known, direction == BACKWARD)
+
+
 def test_nearer_prefers_the_earlier(spark):
     df = spark.createDataFrame([(DAY, (days(-3),), (days(3),)), (DAY, (days(-4),), (days(3),)), (DAY, None, (days(9),)), (DAY, (days(-9),), None)], "at date, b struct<w:date>, a struct<w:date>")
     found = df.select(nearer(F.col("at"), F.col("b"), F.col("a"), "w").alias("n")).collect()
