@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewcast.functions.dates import iso_text
@@ -32,6 +32,8 @@ PROFILE_CHUNK, PROFILE_OVERLAP = 5000, 300
 PROFILE_SOURCE = "profile_generator"
 EXPERIENCE_TECHNOLOGIES = tuple(f"Technology{n}" for n in range(1, 7))
 DASH = " — "
+#: Parts into which the lines of a person's section are dealt. Without influence on results.
+LINE_PARTS = 16
 
 
 def current_employees(employees: DataFrame) -> DataFrame:
@@ -105,6 +107,22 @@ def first_of_each(spelled: DataFrame, value: str, order: Column) -> DataFrame:
     ).drop("_folded")
 
 
+def marked_spellings(repeated: DataFrame) -> DataFrame:
+    """(_person, section, line, skill, _row_id, _first): distinct spellings with their smallest position.
+
+    _first says whether a spelling is the first of its line, ignoring case. Rows move once, dealt by person, section
+    and a small number of the folded line, and neither the folded text nor single spellings move again.
+    """
+    keys = ["_person", "section", "_part"]
+    folded = casefold(F.col("line"))
+    dealt = repeated.withColumn("_part", F.pmod(F.xxhash64(folded), F.lit(LINE_PARTS)).cast("int")).repartition(*keys)
+    # Equal spellings are reduced by their smallest position alone, in a hash aggregate.
+    spelled = dealt.groupBy(*keys, "line", "skill").agg(F.min("_row_id").alias("_row_id"))
+    order = [F.col("_row_id").asc_nulls_last(), "line", "skill"]
+    nth = F.row_number().over(Window.partitionBy(*keys, "_folded").orderBy(*order))
+    return spelled.withColumn("_folded", folded).withColumn("_first", nth == 1).drop("_folded", "_part")
+
+
 def short_profile_lines(df: DataFrame) -> DataFrame:
     parts = [labelled(label, F.col(label)) for label in ("Summary", "Customer", "Project")]
     return _lines(df, "Consultant Name", F.concat_ws("\n", *parts))
@@ -195,10 +213,10 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
             "Languages": simple_lines(tables.languages, "Employee name", ["Language", "Level"]),
         }
     )
-    # Equal spellings are reduced by their smallest position alone, in a hash aggregate.
-    spelled = repeated.groupBy("_person", "section", "line", "skill").agg(F.min("_row_id").alias("_row_id"))
-    spelled = written(spelled, fresh_path(spark, "profile-spellings"))
-    once = first_of_each(spelled, "line", F.col("_row_id"))
+    spelled = written(marked_spellings(repeated), fresh_path(spark, "profile-spellings"))
+    # As everywhere, a line without a position is no text.
+    line = F.when(F.col("_row_id").isNotNull(), F.col("line"))
+    once = spelled.filter("_first").select("_person", "section", line.alias("line"), "_row_id")
     # Every line stands for itself here.
     single = _of_sections(
         {
@@ -211,11 +229,9 @@ def profile_documents(tables: ProfileTables, source_file: str) -> DataFrame:
     # empty line between header and first line.
     wide_gap = F.col("section").isin("Short profile", experience)
     separator = F.when(wide_gap, "\n\n").otherwise("\n")
-    pieces = single.unionByName(once.withColumnRenamed("_order", "_row_id")).select(
+    pieces = single.unionByName(once).select(
         "_person", "section", "_row_id", F.concat(separator, "line").alias("piece")
     )
-    # Counted by section and cut into chunks.
-    pieces = written(pieces, fresh_path(spark, "profile-pieces"))
     header = F.concat(
         F.lit("Consultant: "), "consultant_name", F.lit("\nSection: "), "section",
         F.when(wide_gap, "").otherwise("\n"),

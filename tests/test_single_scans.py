@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from crewcast.operators.chunking import assemble_chunks
+from crewcast.plans import profile_documents as plan
 from crewcast.plans.profile_documents import profile_documents
 from crewcast.sources.profiles import ProfileTables
+from crewcast.sources.shared_storage import written
 
 
 def counted(spark, df, column):
@@ -41,6 +43,19 @@ def profile_tables(spark, technologies):
     )
 
 
+def test_lines_of_profiles_are_stored_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(plan, "written", lambda df, path: stored.append(df.columns) or written(df, path))
+    rows = [(3, "ann", "SPARK"), (1, "ann", "Spark"), (2, "ann", "spark"), (1, "ann", "Spark"), (None, "ann", "Go"), (4, "bob", "SPARK"), (9, "ann", "straße"), (8, "ann", "STRASSE")]
+    technologies = spark.createDataFrame(rows, "_row_id bigint, EmployeeName string, TechnologyName string").withColumns(
+        {"Vendor": F.lit(None).cast("string"), "Type": F.lit(None).cast("string"), "Knowledge_Level": F.lit("Expert"), "Status": F.lit("Current")}
+    )
+    found = profile_documents(profile_tables(spark, technologies), "file").filter("sheet_name = 'Technologies'").collect()
+    texts = {r.consultant_name: r.content.split("\n\n")[1] for r in found}
+    assert texts["Ann"].strip().split("\n") == ["Spark — Expert", "STRASSE — Expert"] and texts["Bob"] == "SPARK — Expert"
+    assert sum("line" in columns or "piece" in columns for columns in stored) == 1
+
+
 def test_skill_tables_are_read_once(spark):
     rows = [(1, "ann", "Spark"), (2, "Ann", "SPARK"), (3, "bob", "Go"), (4, None, "Go"), (4, "ann", "a — Expert"), (5, "ann", "A")]
     technologies = spark.createDataFrame(rows, "_row_id bigint, EmployeeName string, TechnologyName string").withColumns(
